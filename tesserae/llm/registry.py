@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html
+from . import bpe, chat, exact_dedup, html, mixing
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_mix": mixing.op2_mix,
     "op4_html_text": html.op4_html_text,
     "op6_bpe": bpe.op6_bpe,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
+    "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
