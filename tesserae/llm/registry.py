@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, html, mixing
+from . import bpe, chat, exact_dedup, html, mixing, quality
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_mix": mixing.op2_mix,
+    "op3_quality": quality.op3_quality,
     "op4_html_text": html.op4_html_text,
     "op6_bpe": bpe.op6_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
