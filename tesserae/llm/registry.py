@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, html, jaccard, mixing, quality
+from . import bpe, chat, exact_dedup, html, jaccard, lm, mixing, quality
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_html_text": html.op4_html_text,
     "op6_bpe": bpe.op6_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_lm_score": lm.op9_lm_score,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
