@@ -4,13 +4,16 @@ Jaccard distance obeys the triangle inequality, so a pivot's distances tell
 which documents can still be within the radius of each other. Pivots that are
 documents cannot split a whole corpus, though: unrelated texts all lie at a
 distance near 1 from every pivot. The regions of the first level are therefore
-found without distances, and exactly, by pigeonhole: hashed into one cell more
-than the largest symmetric difference that a linked pair of their size class
-may have, two linked sets agree wholly in one cell at least. Documents that
-agree in a cell meet at its smallest document, the pivot; a document belongs
-to the region of each of its pivots, and every linked pair shares a region.
-
-Within a region, members inside the radius of the pivot are linked to it. Others
+found without distances, and exactly: in any one order of all shingles, two
+linked sets share a shingle among the first n - ceil(s n) + 1 of each. Frequent
+shingles come last in that order, by a sketch of their counts in the whole
+corpus. The documents of a size class (linked sets have like sizes) that share
+such a shingle meet at the smallest of them, the pivot; a document belongs to the region of each of its pivots, and every
+linked pair shares a region.
+
+Within a region, parity bits first rule out, by a bound that holds always, the
+members that cannot be within the radius of another; only of the rest are the
+shingles moved. Members inside the radius of the pivot are linked to it. Others
 are compared only within triangle-inequality windows of their distances to the
 pivot, and a small group is split again by further pivots with the boundary
 replicated, until few enough are left to compare each.
@@ -21,13 +24,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 from .components import components
-from .shingles import Shingler, mix
+from .shingles import Shingler, mix, pack, unpack
 
 #: Words of a shingle, and the similarity of a link in hundredths.
 WIDTH, PERCENT = 3, 90
@@ -35,9 +39,15 @@ WIDTH, PERCENT = 3, 90
 TILE = 256
 #: Members that are compared each with each without another pivot.
 LEAF = 24
+#: Counters of the frequency sketch and bits of the filter of needed texts, as powers of two.
+SKETCH_BITS, FILTER_BITS = 24, 23
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
+def prefix_length(n: int, percent: int) -> int:
+    return n - (percent * n + 99) // 100 + 1
+
+
 def size_classes(limit: int = 1 << 40) -> np.ndarray:
     """The largest set size of each class; classes grow by half."""
     tops = [1]
@@ -46,57 +56,113 @@ def size_classes(limit: int = 1 << 40) -> np.ndarray:
     return np.array(tops, np.int64)
 
 
-def cells_of(top: int, percent: int) -> int:
-    """One more than the largest symmetric difference of linked sets of at most ``top`` shingles.
-
-    J >= p/100 means that the difference is at most (100-p)/(100+p) of both sizes together.
-    """
-    return 2 * top * (100 - percent) // (100 + percent) + 1
-
-
-def signatures(shingles: np.ndarray, tops: np.ndarray, percent: int) -> np.ndarray:
-    """A 64-bit sum for each cell, for the set's own class and, near its top, later ones."""
+def prefix_keys(shingles: np.ndarray, levels: np.ndarray, bits: int, tops: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, for its size class and those in which a larger linked set may be."""
     n = len(shingles)
     classes = [int(np.searchsorted(tops, n))]
-    # as the smaller set of a pair it may meet one of a later class
     while 100 * n >= percent * (int(tops[classes[-1]]) + 1):
         classes.append(classes[-1] + 1)
-    out = []
-    for k in classes:
-        cells = cells_of(int(tops[k]), percent)
-        scattered = mix(shingles ^ np.uint64(k + 1))
-        cell = ((scattered >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
-        sums = np.zeros(cells, np.uint64)
-        np.add.at(sums, cell, scattered)
-        out.append(mix(sums + mix(np.arange(cells, dtype=np.uint64) + np.uint64(k << 40))))
-    return np.concatenate(out)
+    rare = shingles[np.argsort(levels[_counter(shingles, bits)], kind="stable")[: prefix_length(n, percent)]]
+    return np.concatenate([mix(rare + np.uint64(k)) for k in classes])
+
+
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """One bit for about two shingles: whether an odd number of shingles falls on it.
+
+    Two sets differ in at least as many shingles as their parities differ in bits.
+    """
+    width = 64
+    while width * 2 <= len(shingles):
+        width *= 2
+    bits = np.bincount((mix(shingles ^ _OTHER) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def may_link(sizes: np.ndarray, parities: list[bytes], percent: int) -> np.ndarray:
+    """Which members have another one that neither their sizes nor their parities keep apart; exact, by the bound above."""
+    out = np.zeros(len(sizes), bool)
+    words = [np.frombuffer(p, np.uint8) for p in parities]
+    folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def fold(k: int, width: int) -> np.ndarray:
+        # a bit's place modulo a smaller power of two is its place in the narrower parity
+        if (k, width) not in folded:
+            folded[k, width] = np.bitwise_xor.reduce(words[k].reshape(-1, width), 0)
+        return folded[k, width]
+
+    for a in range(1, len(sizes)):
+        b = np.flatnonzero((100 * np.minimum(sizes[:a], sizes[a]) >= percent * np.maximum(sizes[:a], sizes[a])))
+        if not len(b):
+            continue
+        most = (sizes[b] + sizes[a]) * (100 - percent) // (100 + percent)
+        width = min(len(words[a]), min(len(words[k]) for k in b.tolist()))
+        differ = np.bitwise_count(np.stack([fold(k, width) for k in b.tolist()]) ^ fold(a, width)).sum(1, dtype=np.int64)
+        near = b[differ <= most]
+        out[near] = True
+        out[a] |= bool(len(near))
+    return out
+
+
+def _counter(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def frequency_levels(docs: DataFrame, width: int, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Half octaves of how many documents have the shingles of each counter, over all documents.
+
+    A fixed number of counters, a byte each for the driver and every task
+    (16 MB) whatever the corpus. They only order shingles; any order is exact.
+    """
+    chunk = 1 << max(bits - 6, 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, counts = Shingler(width), np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            for text in batch.column("text"):
+                np.add.at(counts, _counter(shingler.of(text.as_py()), bits), 1)
+        parts = [pack(counts[a : a + chunk]) for a in range(0, len(counts), chunk)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = np.zeros(chunk, np.int64)
+        for counts in part.column("counts"):
+            total += unpack(counts.as_py(), np.uint32)
+        level = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        return pa.table({"part": part.column("part")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
+
+    rows = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, levels binary").collect()
+    levels = np.zeros(1 << bits, np.uint8)
+    for r in rows:
+        levels[r["part"] * chunk : (r["part"] + 1) * chunk] = np.frombuffer(r["levels"], np.uint8)
+    return levels
 
 
 def shingle_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """uid, doc_id, text_hash, n_shingles, fp1, fp2 (of the set) and its cell signatures, a row for each document."""
-    tops = size_classes()
+    """uid, doc_id, text_hash, n_shingles, fp1, fp2 (of the set) and its prefix, a row for each document."""
+    levels, tops = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, width)), size_classes()
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
+        shingler, level, bits = Shingler(width), levels.value, len(levels.value).bit_length() - 1
         for batch in batches:
-            n, fp1, fp2, cells = [], [], [], []
+            n, fp1, fp2, keys, parity = [], [], [], [], []
             for text in batch.column("text"):
                 s = shingler.of(text.as_py())
                 n.append(len(s))
                 fp1.append(int(mix(s).sum().astype(np.int64)))
                 fp2.append(int(mix(s ^ _OTHER).sum().astype(np.int64)))
-                cells.append(signatures(s, tops, percent).view(np.int64) if len(s) else np.empty(0, np.int64))
-            offsets = np.cumsum([0, *map(len, cells)])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*cells, np.empty(0, np.int64)]), pa.int64()))
+                parity.append(parity_bits(s))
+                keys.append(prefix_keys(s, level, bits, tops, percent).view(np.int64) if len(s) else np.empty(0, np.int64))
+            offsets = np.cumsum([0, *map(len, keys)])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)]), pa.int64()))
             keep = [batch.column(c) for c in ("uid", "doc_id", "text_hash")]
             yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), lists],
-                names=["uid", "doc_id", "text_hash", "n_shingles", "fp1", "fp2", "cells"],
+                [*keep, pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), lists, pa.array(parity, pa.binary())],
+                names=["uid", "doc_id", "text_hash", "n_shingles", "fp1", "fp2", "prefix", "parity"],
             )
 
     keyed = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    return keyed.mapInArrow(run, f"uid long, doc_id {doc_type}, text_hash long, n_shingles long, fp1 long, fp2 long, cells array<long>")
+    return keyed.mapInArrow(run, f"uid long, doc_id {doc_type}, text_hash long, n_shingles long, fp1 long, fp2 long, prefix array<long>, parity binary")
 
 
 class Region:
@@ -179,6 +245,24 @@ def link_table(uids: list[int], links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def without_far(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """``members`` (pivot, uid) without those whose parities show that they link with no one in their region.
+
+    Larger regions than a task holds are left as they are.
+    """
+    counted = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
+    sized = members.join(counted, "pivot")
+    small = sized.where(F.col("size") <= TILE).join(rows.select("uid", "n_shingles", "parity"), "uid").select("pivot", "uid", "n_shingles", "parity")
+
+    def prune(region: pa.Table) -> pa.Table:
+        region = region.sort_by("uid")
+        keep = may_link(region.column("n_shingles").to_numpy(), region.column("parity").to_pylist(), percent)
+        return region.select(["pivot", "uid"]).filter(pa.array(keep))
+
+    kept = small.groupBy("pivot").applyInArrow(prune, "pivot long, uid long")
+    return kept.unionAll(sized.where(F.col("size") > TILE).select("pivot", "uid"))
+
+
 def region_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect all pairs within the radius in the regions ``members`` (pivot, uid)."""
     counted = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
@@ -186,7 +270,7 @@ def region_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     small = sized.where(F.col("size") <= TILE).join(sets, "uid").select("pivot", "uid", "shingles")
 
     def join_region(region: pa.Table) -> pa.Table:
-        rows = sorted(zip(region.column("uid").to_pylist(), region.column("shingles").to_pylist()))
+        rows = sorted(dict(zip(region.column("uid").to_pylist(), region.column("shingles").to_pylist())).items())
         uids = [u for u, _ in rows]
         r = Region([np.frombuffer(s, np.uint64) for _, s in rows], percent)
         r.join(np.arange(len(rows)))
@@ -219,7 +303,7 @@ def large_region_links(members: DataFrame, sets: DataFrame, percent: int) -> Dat
 
     pivots = sets.select(F.col("uid").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
     with_sets = members.select("pivot", "uid").join(sets, "uid").join(pivots, "pivot")
-    shells = materialise(with_sets.mapInArrow(measure, "pivot long, uid long, shell int"), "shells")
+    shells = materialise(with_sets.mapInArrow(measure, "pivot long, uid long, shell int").distinct(), "shells")
     inner = shells.where(F.col("shell") <= radius_cell).select(F.col("pivot").alias("a"), F.col("uid").alias("b"))
     counts = shells.groupBy("pivot", "shell").agg(F.count(F.lit(1)).alias("rows"))
     tiles = counts.select("pivot", "shell", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
@@ -239,7 +323,7 @@ def large_region_links(members: DataFrame, sets: DataFrame, percent: int) -> Dat
     rows = tiled.join(sides, ["pivot", "shell", "tile"]).join(sets, "uid").select("pair", "uid", "shell", "shingles")
 
     def join_tiles(pair: pa.Table) -> pa.Table:
-        found = sorted(zip(pair.column("uid").to_pylist(), pair.column("shell").to_pylist(), pair.column("shingles").to_pylist()))
+        found = sorted(set(zip(pair.column("uid").to_pylist(), pair.column("shell").to_pylist(), pair.column("shingles").to_pylist())))
         r = Region([np.frombuffer(s, np.uint64) for _, _, s in found], percent)
         inside = [k for k, (_, shell, _) in enumerate(found) if shell <= radius_cell]
         for k in inside[1:]:
@@ -270,9 +354,10 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     groups = materialise(groups, "sets")
     # sets too small to differ and still be linked need no join
     joined = groups.where(F.col("n_shingles") >= percent // (100 - percent)).select(F.col("rep").alias("uid"))
-    cells = rows.join(joined, "uid", "left_semi").select("uid", F.explode("cells").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("uid").alias("pivot"), F.max("uid").alias("last")).where("last > pivot").select("cell", "pivot")
-    members = materialise(cells.join(shared, "cell").select("pivot", "uid").distinct(), "members")
+    prefixes = rows.join(joined, "uid", "left_semi").select("uid", F.explode("prefix").alias("shingle"))
+    shared = prefixes.groupBy("shingle").agg(F.min("uid").alias("pivot"), F.max("uid").alias("last")).where("last > pivot").select("shingle", "pivot")
+    members = materialise(prefixes.join(shared, "shingle").select("pivot", "uid").distinct(), "members")
+    members = materialise(without_far(members, rows, percent), "near-members")
     needed = rows.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
 
     def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +367,23 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(made, pa.binary())], names=["uid", "shingles"])
 
     hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    # a bitmap of fixed size spares most other texts the shuffle; what it lets through wrongly, the join drops
+    bit = needed.select(F.pmod(F.xxhash64("_hash"), F.lit(1 << FILTER_BITS)).alias("bit"))
+    words = bit.groupBy(F.expr("CAST(bit DIV 64 AS INT)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("bits"))
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in words.collect():
+        bitmap[r["word"]] = r["bits"]
+    shared_bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def may_be_needed(bits: pd.Series) -> pd.Series:
+        b = bits.to_numpy()
+        return pd.Series((shared_bitmap.value[b >> 6] >> (b & 63)) & 1 == 1)
+
+    hashed = hashed.where(may_be_needed(F.pmod(F.xxhash64("text_hash"), F.lit(1 << FILTER_BITS))))
     texts = hashed.join(needed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    sets = texts.select("uid", "text").mapInArrow(make_sets, "uid long, shingles binary").dropDuplicates(["uid"])
+    # repeated rows give a set more than once; tasks key sets by uid
+    sets = texts.select("uid", "text").mapInArrow(make_sets, "uid long, shingles binary")
     sets = materialise(sets, "shingle-sets")
     links = materialise(region_links(members, sets, percent), "links")
     roots = components(links)
