@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..operators import depth, labels, layers, matching, paths, raster, regions, stamps, stats
 from ..sources import documents, rasters
+from . import approximate
+from .recipe import recipe
 
 PALETTE = [(224, 32, 32), (32, 32, 224), (240, 220, 40), (40, 180, 80), (128, 128, 128), (20, 20, 20)]
 
@@ -394,3 +396,9 @@ def layer_documents(spark, d):
     )
     parsed = documents.parse_documents(docs)
     return parsed.groupBy("fill", "problem").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("height"), 2).alias("height"))
+
+
+def approximate_layers(spark, d):
+    px = rasters.formula_rasters(spark, {k: rasters.FORMULAS[k] for k in ("split64", "disk64", "quad48")})
+    fills = px.where("label >= 0").select("image_id", "label").distinct().withColumn("fill", color.rgb_to_hex(F.col("label") * 40, F.lit(90), F.lit(160)))
+    return approximate.approximate(px, fills, stamps.stamp_table(spark), recipe("logo", canvas=64, recall=3, particles=16))
