@@ -3,7 +3,8 @@
 A page becomes a tree of block elements. Every node has its characters, its
 link characters, its blocks and its link tags; their link-adjusted ratio is the
 node's density. The subtree with the largest sum of child densities is the
-text, widened along its path to the body by the smallest density on that path.
+text, widened along its path to the body by all that reaches the smallest
+density on that path; sparse blocks of links are left out of it.
 """
 
 from __future__ import annotations
@@ -53,13 +54,14 @@ SIBLINGS = {
 class Node:
     """A block element: ``items`` holds strings and blocks in page order."""
 
-    __slots__ = ("tag", "parent", "items", "skip", "chars", "link_chars", "tags", "links", "density", "total")
+    __slots__ = ("tag", "parent", "items", "skip", "chars", "link_chars", "tags", "links", "density", "total", "holds", "within")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool):
         self.tag, self.parent, self.skip = tag, parent, skip
         self.items: list[str | Node] = []
         self.chars = self.link_chars = self.tags = self.links = 0
         self.density = self.total = 0.0
+        self.holds = self.within = False
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
@@ -160,13 +162,20 @@ def parse(page: str) -> Node:
             child = Node(tag, node, unwanted)
             node.items.append(child)
             node = child
-        elif tag == "a":
+        if tag == "a":
             anchor += 1
             node.links += not node.skip
         stack.append((tag, node))
     return root
 
 
+def _density(chars: int, link_chars: int, tags: int, links: int, share: float) -> float:
+    """Characters to a tag, less for links; ``share`` is the page's share of link characters."""
+    lc, t, lt = max(link_chars, 1), max(tags, 1), max(links, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
+    return chars / t * max(math.log(max(chars / lc * t / lt, 1.0)) / math.log(base + 1), 0.0)
+
+
 def measure(root: Node) -> list[Node]:
     """Fill in densities bottom up; all nodes that may be text, in page order."""
     order: list[Node] = []
@@ -185,9 +194,7 @@ def measure(root: Node) -> list[Node]:
     share = root.link_chars / max(root.chars, 1)
     for node in order:
         if node.chars:
-            c, lc, t, lt = node.chars, max(node.link_chars, 1), max(node.tags, 1), max(node.links, 1)
-            base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + share * c + math.e)
-            node.density = c / t * max(math.log(max(c / lc * t / lt, 1.0)) / math.log(base + 1), 0.0)
+            node.density = _density(node.chars, node.link_chars, node.tags, node.links, share)
     for node in order:
         node.total = sum(x.density for x in node.items if isinstance(x, Node) and not x.skip)
         if any(isinstance(x, str) and not x.isspace() for x in node.items):
@@ -230,18 +237,31 @@ def extract(page: str | None) -> str:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(x.density for x in path)
-    # the article that holds the densest subtree is the text as a whole
-    for k, x in enumerate(path):
-        if x.tag in ("article", "main"):
-            return "\n".join(blocks_of(x))
-    for k in range(1, len(path)):
-        inner, outer = path[k - 1], path[k]
-        rest = [x for x in outer.items if isinstance(x, Node) and not x.skip and x is not inner and x.chars]
-        if all(x.density >= threshold or x.tag in HEADINGS for x in rest):
-            best = outer
-        else:
-            break
-    return "\n".join(blocks_of(best))
+    on_path = set(map(id, path))
+    for x in reversed(order):
+        dense = x.chars > 0 and x.density >= threshold
+        x.holds = dense or id(x) in on_path or any(isinstance(y, Node) and not y.skip and y.holds for y in x.items)
+    top = best
+    for outer in path[1:]:
+        inner = [x for x in outer.items if isinstance(x, Node) and not x.skip]
+        rest = [x for x in inner if id(x) not in on_path and x.chars]
+        if any(x.holds or x.tag in HEADINGS for x in rest) or _own_density(outer, inner, root) >= threshold:
+            top = outer
+    # what is short but no list of links stays with the text around it; the tag decides only there
+    for x in order:
+        around = x.parent is not None and x.parent.within
+        if x.chars and not (x.holds or x.tag in HEADINGS or (around and 2 * x.link_chars <= x.chars)):
+            x.skip = True
+        x.within = x is best or x.tag in ("article", "main") or around
+    return "\n".join(blocks_of(top))
+
+
+def _own_density(node: Node, inner: list[Node], root: Node) -> float:
+    """The density of the text that stands in a node and in none of its blocks; below all others if there is none."""
+    chars, link_chars, links = (getattr(node, k) - sum(getattr(x, k) for x in inner) for k in ("chars", "link_chars", "links"))
+    if not any(isinstance(x, str) and not x.isspace() for x in node.items) or chars <= 0:
+        return -1.0
+    return _density(chars, link_chars, 1, links, root.link_chars / max(root.chars, 1))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

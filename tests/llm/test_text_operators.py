@@ -43,6 +43,21 @@ def test_html(page, text):
     assert html.extract(page) == text
 
 
+A, B, SHORT = ("The first story is long enough to be read as one. " * 4).strip(), ("The second story is about as long as the other. " * 4).strip(), "So it goes."
+LINKS = "<ul>" + "<li><a href=x>more of this</a></li>" * 8 + "</ul>"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<main><article><p>{A}</p><p>{A}</p></article><article><p>{B}</p><p>{B}</p></article></main>", "\n".join([A, A, B, B])),
+    (f"<body><article><p>{A}</p><p>{SHORT}</p><p>{A}</p></article><div>x</div><article><p>{B}</p></article></body>", "\n".join([A, SHORT, A, B])),
+    (f"<article><p>{A}</p>{LINKS}<p>{SHORT}</p><p>{B}</p></article>", "\n".join([A, SHORT, B])),
+    (f"<body><div><article><p>{A}</p><p>{B}</p></article></div>{LINKS}<div>Made by hand.</div></body>", "\n".join([A, B])),
+    (f"<main><a hidden href=x>no</a><p>{A}</p><p>{B}</p></main>", "\n".join([A, B])),
+])
+def test_html_density_decides_with_articles(page, text):
+    assert html.extract(page) == text
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>a"), (1, "u", None)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted((r.text, r.n_chars) for r in html.extract_pages(pages).collect()) == [("", 0), ("", 0), ("a", 1)]
