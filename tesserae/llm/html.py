@@ -28,15 +28,15 @@ BLOCKS = frozenset(
     "menu dialog search".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements whose content is never main text, and what a page calls such blocks.
+#: Elements whose content is never main text; what a page calls such blocks is evidence only, see ``_drop_named``.
 NOT_TEXT = RAW | frozenset("head nav footer aside form button select option input menu dialog search canvas audio video".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 NOT_TEXT_NAME = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promo(?:tion|ted|s)?|banner|cookies?|consent|gdpr|notices?|"
+    r"(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promo(?:tion|ted|s)?|banner|cookies?|consent|gdpr|notices?|"
     r"alert|popup|modal|overlay|newsletter|subscri(?:be|ption)|sign-?up|login|nav|navbar|navigation|menus?|breadcrumbs?|"
     r"sidebar|side-bar|widgets?|related|recommend(?:ed|ations)?|trending|popular|share|sharing|social|footer|masthead|"
     r"site-?header|page-?header|top-?bar|skip-?link|comments?|comment-?list|replies|disqus|respond|pager|pagination|"
-    r"toc|copyright|legal|disclaimer|toolbar)(?:$|[-_\s])",
+    r"toc|copyright|legal|disclaimer|toolbar)",
     re.I,
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -54,7 +54,7 @@ SIBLINGS = {
 class Node:
     """A block element: ``items`` holds strings and blocks in page order."""
 
-    __slots__ = ("tag", "parent", "items", "skip", "chars", "link_chars", "tags", "links", "density", "total", "holds", "within")
+    __slots__ = ("tag", "parent", "items", "skip", "chars", "link_chars", "tags", "links", "density", "total", "holds", "within", "named")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool):
         self.tag, self.parent, self.skip = tag, parent, skip
@@ -62,6 +62,7 @@ class Node:
         self.chars = self.link_chars = self.tags = self.links = 0
         self.density = self.total = 0.0
         self.holds = self.within = False
+        self.named = ""
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
@@ -74,8 +75,18 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) or "display:none" in found.get("style", "").replace(" ", ""):
         return True
-    named = f"{found.get('class', '')} {found.get('id', '')}"
-    return tag not in ("html", "body", "article", "main") and bool(NOT_TEXT_NAME.search(named))
+    return False
+
+
+def _named(tag: str, attributes: str) -> str:
+    """Which attribute has a whole token that pages give to what is not main text: ``class``, ``id`` or none."""
+    if not attributes or tag in HEADINGS or tag in ("html", "body", "article", "main"):
+        return ""
+    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
+    for name in ("class", "id"):
+        if any(map(NOT_TEXT_NAME.fullmatch, found.get(name, "").split())):
+            return name
+    return ""
 
 
 def parse(page: str) -> Node:
@@ -160,6 +171,7 @@ def parse(page: str) -> Node:
         unwanted = node.skip or _unwanted(tag, m[3].rstrip("/ "), any(name in ("article", "main") for name, _ in stack))
         if tag in BLOCKS or unwanted:
             child = Node(tag, node, unwanted)
+            child.named = "" if unwanted else _named(tag, m[3].rstrip("/ "))
             node.items.append(child)
             node = child
         if tag == "a":
@@ -176,6 +188,44 @@ def _density(chars: int, link_chars: int, tags: int, links: int, share: float) -
     return chars / t * max(math.log(max(chars / lc * t / lt, 1.0)) / math.log(base + 1), 0.0)
 
 
+def _drop_named(order: list[Node]) -> list[Node]:
+    """The nodes that stay when blocks with names of what is not main text are dropped, on evidence.
+
+    A named block goes if half its text or more is links. By its class it also
+    goes if it holds at most half of the page's text or stands outside an
+    article or main with text. No block around such an article goes.
+    """
+    total = order[0].chars
+    holds_article: set[int] = set()
+    for x in order:
+        if x.tag in ("article", "main") and x.chars:
+            up: Node | None = x
+            while up is not None and id(up) not in holds_article:
+                holds_article.add(id(up))
+                up = up.parent
+    left, inside = [], set()
+    for x in order:
+        if x.parent is not None and x.parent.skip:
+            x.skip = True
+            continue
+        if x.tag in ("article", "main") or id(x.parent) in inside:
+            inside.add(id(x))
+        if x.named and x.chars and id(x) not in holds_article:
+            aside = bool(holds_article) and id(x) not in inside
+            if 2 * x.link_chars >= x.chars or (x.named == "class" and (aside or 2 * x.chars <= total)):
+                x.skip = True
+                up = x.parent
+                while up is not None:
+                    up.chars -= x.chars
+                    up.link_chars -= x.link_chars
+                    up.tags -= x.tags + 1
+                    up.links -= x.links
+                    up = up.parent
+                continue
+        left.append(x)
+    return left
+
+
 def measure(root: Node) -> list[Node]:
     """Fill in densities bottom up; all nodes that may be text, in page order."""
     order: list[Node] = []
@@ -191,6 +241,7 @@ def measure(root: Node) -> list[Node]:
                 node.link_chars += child.link_chars
                 node.tags += child.tags + 1
                 node.links += child.links
+    order = _drop_named(order)
     share = root.link_chars / max(root.chars, 1)
     for node in order:
         if node.chars:

@@ -58,6 +58,19 @@ def test_html_density_decides_with_articles(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<div class='content no-sidebar'><p>{A}</p><p>{B}</p></div>", "\n".join([A, B])),
+    (f"<div class='widget'><p>{A}</p><p>{B}</p></div>", "\n".join([A, B])),
+    (f"<div class='hentry has-sidebar'><article class='post comments-open'><p>{A}</p></article></div><div class=sidebar><p>{SHORT}</p></div>", A),
+    (f"<article><p>{A}</p><section id='related-work'><h2 id=legal>Law</h2><p>{B}</p></section></article>", "\n".join([A, "Law", B])),
+    (f"<article><p>{A}</p><section id=popular><p>{B}</p></section><div id=share>{LINKS}</div></article>", "\n".join([A, B])),
+    (f"<div class=related>{LINKS}</div><div><p>{A}</p></div><div class='x ad'>{SHORT}</div>", A),
+    (f"<div class=ad>{A}</div><article><p>{SHORT}</p></article>", SHORT),
+])
+def test_html_names_are_only_evidence(page, text):
+    assert html.extract(page) == text
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>a"), (1, "u", None)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted((r.text, r.n_chars) for r in html.extract_pages(pages).collect()) == [("", 0), ("", 0), ("a", 1)]
