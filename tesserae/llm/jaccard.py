@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -334,6 +334,10 @@ def large_region_links(members: DataFrame, sets: DataFrame, percent: int) -> Dat
     return inner.unionAll(rows.groupBy("pair").applyInArrow(join_tiles, "a long, b long"))
 
 
+#: What tells sets of shingles apart.
+KEY = ("n_shingles", "fp1", "fp2")
+
+
 def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Near-duplicate classes by the Jaccard similarity of shingle sets, joined exactly.
 
@@ -346,9 +350,17 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
       number. A null doc_id is larger than any other.
     * Extra columns are ignored; an empty table gives no rows.
     """
+    rows, classes = _classes(docs, width, percent)
+    return rows.join(classes.drop("class"), [*KEY], "left").select(
+        "uid", "doc_id", "text_hash", "n_shingles",
+        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the documents, and for each set its class (the smallest node reachable by links) and component_id."""
     rows = materialise(shingle_rows(docs, width, percent), "shingled")
-    key = ["n_shingles", "fp1", "fp2"]
-    groups = rows.where("n_shingles > 0").groupBy(*key).agg(
+    groups = rows.where("n_shingles > 0").groupBy(*KEY).agg(
         F.min("uid").alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")
     )
     groups = materialise(groups, "sets")
@@ -389,24 +401,31 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     roots = components(links)
     least = roots.join(groups.select(F.col("rep").alias("node"), "least_id"), "node")
     ids = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_node = least.join(ids, "root").select(F.col("node").alias("rep"), "component_id")
-    classes = groups.join(by_node, "rep", "left").select(*key, F.coalesce("component_id", "least_id").alias("component_id"))
-    return rows.join(classes, key, "left").select(
-        "uid", "doc_id", "text_hash", "n_shingles",
-        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    by_node = least.join(ids, "root").select(F.col("node").alias("rep"), "root", "component_id")
+    classes = groups.join(by_node, "rep", "left")
+    return rows, classes.select(*KEY, F.coalesce("root", "rep").alias("class"), F.coalesce("component_id", "least_id").alias("component_id"))
 
 
 def drop_near(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; documents without words all stay."""
-    groups = jaccard_groups(docs, width, percent)
-    keep = groups.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id")))
-    # of repeated rows of one document, one stays unless it has no words
-    keep = keep.groupBy("doc_id", "component_id", F.when(F.col("n_shingles") == 0, F.col("uid")).alias("single")).agg(F.min_by("text_hash", "uid").alias("_hash"))
-    keep = keep.select(F.col("doc_id").alias("_id"), "_hash").distinct()
-    hashed = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_hash"))
-    kept = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return kept.select(*docs.columns)
+    """One row of each group: the one with the smallest doc_id, null being the largest; documents without words all stay.
+
+    Groups are classes of linked texts, whatever their ids: rows of one id or
+    of none are told apart by their texts, and of repeated rows one stays.
+    """
+    rows, classes = _classes(docs, width, percent)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid", "text_hash")).alias("least")
+    of_set = rows.where("n_shingles > 0").groupBy(*KEY).agg(least)
+    keep = of_set.join(classes, [*KEY]).groupBy("class").agg(F.min("least").alias("least"))
+    id_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    keep = keep.select(F.col("least.unnamed").alias("_unnamed"), id_text("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_text_hash"))
+    with_words = F.coalesce(F.col("text").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
+    hashed = docs.where(with_words).select(
+        "*", F.col("doc_id").isNull().alias("_unnamed"), id_text("doc_id").alias("_id"), F.xxhash64("text").alias("_text_hash")
+    )
+    names = ["_unnamed", "_id", "_text_hash"]
+    one = F.row_number().over(Window.partitionBy(*names).orderBy(*names)).alias("_copy")
+    kept = hashed.join(keep, names, "left_semi").select("*", one).where("_copy = 1")
+    return kept.select(*docs.columns).unionAll(docs.where(~with_words))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

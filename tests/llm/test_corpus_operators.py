@@ -94,6 +94,18 @@ def test_jaccard_edges(spark):
     assert near.columns == docs.columns
 
 
+def test_drop_near_by_class(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    rows = [
+        (None, "one two three four"), (None, "five six seven eight"), (None, "five six seven eight"), (7, "red green blue grey"), (7, "cat dog cow hen"),
+        (3, " ".join(base)), (None, near), (9, near), (None, None), (None, ""), (4, None), (4, None), (5, "a b c d e"), (5, "a b c d e"),
+    ]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("uid", F.lit(1)).repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in jaccard.drop_near(docs, 5, 80).collect())
+    assert got == collections.Counter([rows[k] for k in (0, 1, 3, 4, 5, 8, 9, 10, 11, 12)])
+
+
 def test_region_recursion_is_exact():
     rng = np.random.default_rng(0)
     pool = [np.unique(rng.integers(0, 1 << 60, 60).astype(np.uint64)) for _ in range(4)]
