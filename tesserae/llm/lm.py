@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialise, table, words
 from .shingles import Shingler, mix, pack, unpack
 
-#: Longest n-gram. Bigrams keep the exchange within about twice the input.
-ORDER = 2
+#: Longest n-gram.
+ORDER = 3
 BUNDLE_TOKENS, SLOT_TOKENS = 1_000_000, 250_000
 #: Documents with this remainder are held out; with the next one, deleted counts teach the weights.
 FOLDS, HELD_OUT, TUNING = 10, 0, 1

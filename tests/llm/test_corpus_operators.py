@@ -175,6 +175,14 @@ def test_lm_scores(spark):
     assert lm.score_documents(docs.where("false")).count() == 0
 
 
+def test_lm_sees_two_words_of_context(spark):
+    crc = lambda i: zlib.crc32(str(i).encode()) % 10
+    out = [i for i in range(200) if crc(i) == 0]
+    rows = [(i, "a x p z z b x q z z") for i in range(200) if crc(i)] + [(out[0], "a x p z z"), (out[1], "a x q z z")]
+    got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[out[0]] > got[out[1]] + 0.1  # to one word of context they are alike
+
+
 def test_lm_probabilities_sum_to_one():
     tokens = np.array([1, 2, 1, 3, int(lm.END), 1, 2, int(lm.END)], np.uint64)
     vocabulary, place = np.unique(tokens, return_inverse=True)
