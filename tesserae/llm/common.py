@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space of every word and normalisation rule here: space, tab, LF, VT, FF, CR.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -48,7 +53,54 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tesserae-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tesserae_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of materialised frames that nothing reads any more.
+
+    The shuffles that made them go with the JVM's references, which Spark's own
+    cleaner follows up after a collection of garbage.
+    """
+    for df in frames:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._tesserae_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of jobs that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Bits of a bitmap of keys, as a power of two: 1 MB, whatever the number of keys.
+BITMAP_BITS = 23
+
+
+def bitmap_of(keys: DataFrame, name: str) -> Callable[[str], Column]:
+    """A test, of a fixed size, that is true for every row whose key is in column ``name`` of ``keys``, and for some others.
+
+    It spares most rows without a partner a shuffle; what it lets through
+    wrongly, the join after it drops. With very many keys it lets all through.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+    bit = keys.select(slot(name).alias("bit"))
+    words = bit.groupBy(F.expr("CAST(bit DIV 64 AS INT)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("bits"))
+    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    for r in words.toLocalIterator():
+        bitmap[r["word"]] = r["bits"]
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def may_be_in(bits: pd.Series) -> pd.Series:
+        b = bits.to_numpy()
+        return pd.Series((shared.value[b >> 6] >> (b & 63)) & 1 == 1)
+
+    return lambda c: may_be_in(slot(c))
 
 
 def words(text: str | None) -> list[bytes]:

@@ -121,7 +121,7 @@ def test_pii_replaces_distinctly(spark):
     assert pii.replace_pii(docs.where("false")).count() == 0
 
 
-def test_pii_collisions_move_on(spark, monkeypatch):
+def test_pii_collisions_move_on(spark):
     entities = spark.createDataFrame([("name:n", n) for n in ("ada", "bob", "eve")], "kind string, entity string")
     table = pii.surrogate_table(entities).collect()
     assert len({r.surrogate for r in table}) == 3 and not {r.surrogate for r in table} & {"ada", "bob", "eve"}
@@ -132,6 +132,65 @@ def test_pii_collisions_move_on(spark, monkeypatch):
     assert again["ada"].attempt > 0 and len({r.surrogate for r in again.values()}) == 6 and not {r.surrogate for r in again.values()} & set(again)
 
 
+def test_pii_ends_where_formats_are_full(spark):
+    fixed = ["_@gmail.com", "иван@gmail.com", "иван@почта.рф", *(f"{c}@gmail.com" for c in "abcdefghijklmnopqrstuvwxyz")]
+    values = [f"-------{k}" for k in range(10)]
+    rows = [(k, f"Write to {e} now", None) for k, e in enumerate(fixed)] + [(100 + k, f"password={v}", None) for k, v in enumerate(values)]
+    docs = spark.createDataFrame(rows, DOCS).select("*", F.lit(1).alias("a.b"), F.lit(2).alias("row"), F.lit(3).alias("doc_key"), F.lit(4).alias("decided"))
+    out = {r.doc_id: r.text for r in pii.replace_pii(docs).collect()}
+    mails = [out[k].split()[2] for k in range(len(fixed))]
+    assert len(set(mails)) == len(fixed) and not set(mails) & set(fixed)
+    assert all(m.endswith(f.rpartition("@")[2]) for m, f in zip(mails, fixed) if f != fixed[2])
+    assert re.fullmatch(r"[а-яѐ-ӿ]+@[а-яѐ-ӿ]+\.рф", mails[2])
+    got = [out[100 + k].partition("=")[2] for k in range(10)]
+    assert len(set(got)) == 10 and not set(got) & set(values)
+
+
+def test_pii_names_keep_gender_script_and_coreference(spark):
+    texts = ["Anna Smith met John Doe. Smith left.", "Mr. Smith and Mrs. Νίκη and Frau 王", "Dr. Smith; Mr. Иван", "The Great Lake is wide. For Example."]
+    docs = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], DOCS)
+    out = {r.doc_id: r.text for r in pii.replace_pii(docs).collect()}
+    anna, smith, john, doe, again = re.fullmatch(r"(\w+) (\w+) met (\w+) (\w+)\. (\w+) left\.", out[0]).groups()
+    assert len({anna, smith, john, doe}) == 4 and smith == again and not {anna, smith, john, doe} & {"Anna", "Smith", "John", "Doe"}
+    assert anna.lower().endswith(tuple(pii.ENDINGS["latin", "f"])) and john.lower().endswith(tuple(pii.ENDINGS["latin", "m"]))
+    same, greek, han = re.fullmatch(r"Mr\. (\w+) and Mrs\. (\w+) and Frau (\w+)", out[1]).groups()
+    assert same == smith and out[2].startswith(f"Dr. {smith}; Mr. ") and pii.script_of(greek) == "greek" and pii.script_of(han) == "cjk" and han != "王"
+    assert pii.script_of(out[2].split()[-1]) == "cyrillic" and out[3] == texts[3]
+
+
+def test_pii_against_brute_force(spark):
+    """Same entity, same surrogate; different entities, different ones, none of them an entity: over all texts of a table."""
+    from tesserae.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    after = {r.doc_id: r.text for r in pii.replace_pii(docs).collect()}
+    forward, backward = {}, {}
+    for r in docs.collect():
+        found, at = pii.find(r.text or ""), 0
+        pattern = ""
+        for start, end, _, _ in found:
+            pattern += re.escape(r.text[at:start]) + "(.+?)"
+            at = end
+        got = re.fullmatch(pattern + re.escape((r.text or "")[at:]), after[r.doc_id] or "", re.S)
+        assert got, r.doc_id
+        for (start, end, kind, entity), new in zip(found, got.groups()):
+            family, plain = kind.partition(":")[0], re.sub(r"[ ()-]", "", new).lower()
+            assert forward.setdefault((family, entity), plain) == plain and backward.setdefault((family, plain), entity) == entity
+    assert forward and not set(forward) & set(backward)
+
+
+def test_pii_time_grows_with_the_text():
+    import time
+
+    def seconds(n):
+        text = "".join(f"u{k}@host{k}.com Mr. Aa{k} " for k in range(n))
+        began = time.process_time()
+        assert len(pii.find(text)) >= n
+        return time.process_time() - began
+
+    assert seconds(16_000) < 12 * seconds(4_000)
+
+
 def brute_targets(sizes: dict, weights=(5.0, 2.0, 1.0), cap=3.0):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[k % 3] for k, s in enumerate(order)}
