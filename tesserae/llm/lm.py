@@ -4,10 +4,13 @@ Maximum-likelihood estimates of all orders are mixed; the weights depend on how
 often the context was seen and are learned by expectation-maximisation on
 tokens whose own counts were deleted from the estimates.
 
-Documents are packed into bundles of about a million tokens. A bundle sends
+Documents are packed into bundles of about two million tokens. A bundle sends
 each distinct n-gram once, in sorted blocks by hash range, and gets the
 corpus-wide counts back in the same order, so that what is exchanged follows
-the distinct n-grams and no frequent one makes a hot key.
+the distinct n-grams and no frequent one makes a hot key. Up to ``FAN`` bundles
+meet directly. More are merged as a tree: groups of ``FAN`` bundles by hash
+range, groups of groups by finer ranges, and the answers come back along it, so
+the number of blocks grows with the input and not with its square.
 """
 
 from __future__ import annotations
@@ -20,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, words
+from .common import free_shuffles, materialise, table, words
 from .shingles import Shingler, mix, pack, unpack
 
 #: Longest n-gram.
 ORDER = 3
-BUNDLE_TOKENS, SLOT_TOKENS = 1_000_000, 250_000
+#: Tokens of a bundle, and those whose n-grams meet in one task; bundles that meet directly.
+BUNDLE_TOKENS, SLOT_TOKENS, FAN = 2_000_000, 500_000, 256
 #: Documents with this remainder are held out; with the next one, deleted counts teach the weights.
 FOLDS, HELD_OUT, TUNING = 10, 0, 1
 EM_STEPS = 60
@@ -35,6 +39,14 @@ NONE = -(1 << 14)
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
+def key_bits(tokens: int) -> int:
+    """Bits of the hash that stands for an n-gram of two words or more: one in 2^24 or fewer meets another in a corpus of so many tokens.
+
+    Single words always have 64 bits.
+    """
+    return min(64, max(48, tokens.bit_length() + 24))
+
+
 def remainder(doc_id: object) -> int:
     """crc32 of the id as text, modulo the folds; a null id is the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
@@ -91,138 +103,207 @@ def bundle_rows(docs: DataFrame) -> DataFrame:
 class Bundle:
     """The n-grams of a bundle: per order the distinct keys, and the place of each token's n-gram among them."""
 
-    def __init__(self, doc_ids: list, sizes: list[int], vocabulary: bytes, tokens: bytes, order: int):
+    def __init__(self, doc_ids: list, sizes: list[int], vocabulary: bytes, tokens: bytes, order: int, bits: int):
         self.ids, self.sizes = doc_ids, np.array(sizes, np.int64)
         token = unpack(vocabulary, np.uint64)[unpack(tokens, np.uint32)]
         self.start = np.r_[0, np.cumsum(self.sizes)[:-1]]
         self.first = np.zeros(len(token), bool)
         self.first[self.start] = True
-        self.fold = np.repeat(np.array([remainder(i) for i in doc_ids]), self.sizes)
+        self.fold = np.repeat(np.array([remainder(i) for i in doc_ids], np.int8), self.sizes)
         self.keys, self.place = [], []
         gram, before = mix(token + np.uint64(1)), token
-        depth = np.arange(len(token)) - np.repeat(self.start, self.sizes)
+        depth = (np.arange(len(token)) - np.repeat(self.start, self.sizes)).astype(np.int32)
         for n in range(1, order + 1):
             if n > 1:
                 before = np.r_[BEGIN, before[:-1]]
                 before[depth < n - 1] = BEGIN
                 gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(n))
-            keys, place = np.unique(gram, return_inverse=True)
+            keys, place = np.unique(gram >> np.uint64(64 - _width(n, bits)), return_inverse=True)
             self.keys.append(keys)
-            self.place.append(place)
+            self.place.append(place.astype(np.int32))
 
     def counts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the keys of order n in training documents: those that do not tune, those that do."""
         place, size = self.place[n - 1], len(self.keys[n - 1])
-        tuning, out = self.fold == TUNING, self.fold == HELD_OUT
-        return np.bincount(place[~tuning & ~out], minlength=size), np.bincount(place[tuning], minlength=size)
-
-    def estimates(self, counts: list[np.ndarray], docs: int, total: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-        """Estimates of every token by order (rows 0..order), and its context bucket."""
-        n_tokens = len(self.first)
-        f = np.zeros((len(counts) + 1, n_tokens))
-        f[0] = 1 / (vocabulary + 1)
-        bucket = np.zeros(n_tokens, np.int64)
-        for n, count in enumerate(counts, 1):
-            mine = count[self.place[n - 1]]
+        return tuple(np.bincount(place[fold], minlength=size) for fold in ((self.fold != TUNING) & (self.fold != HELD_OUT), self.fold == TUNING))
+
+    def contexts(self, n: int, counts: list[np.ndarray], docs: int, total: int) -> np.ndarray:
+        """How often the context of every token's n-gram was seen."""
+        if n == 1:
+            return np.full(len(self.first), total)
+        context = np.r_[0, counts[n - 2][self.place[n - 2]][:-1]]
+        context[self.first] = docs
+        return context
+
+    def buckets(self, counts: list[np.ndarray], docs: int) -> np.ndarray:
+        """The longest known context of every token: 64 times its order, and the octave of its count; 0 if none is known."""
+        bucket = np.zeros(len(self.first), np.int16)
+        for n in range(2, len(counts) + 1):
+            context = self.contexts(n, counts, docs, 0)
+            bucket = np.where(context > 0, (n * 64 + np.log2(np.maximum(context, 1))).astype(np.int16), bucket)
+        return bucket
+
+    def estimate(self, n: int, counts: list[np.ndarray], docs: int, total: int) -> np.ndarray:
+        """The maximum-likelihood estimate of every token by order n, 0 where the context is unknown."""
+        context = self.contexts(n, counts, docs, total)
+        return np.divide(counts[n - 1][self.place[n - 1]], context, out=np.zeros(len(context)), where=context > 0)
+
+
+def _width(n: int, bits: int) -> int:
+    return 64 if n == 1 else bits
+
+
+def _ranges(keys: np.ndarray, width: int, ranges: int) -> np.ndarray:
+    """The hash range of each key; ranges of a multiple of their number nest."""
+    return ((keys >> np.uint64(width - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+#: A block: sorted keys of one order in one hash range, as gaps, and their counts. It comes from ``child`` and its range there.
+BLOCK = "grp long, rng long, child long, child_rng long, n int, gaps binary, main binary, tuning binary"
+ANSWER = "child long, child_rng long, rng long, n int, main binary, tuning binary, found long"
+
+
+def _blocks(group: int, child: int, child_rng: int, n: int, keys: np.ndarray, main: np.ndarray, tuning: np.ndarray, width: int, ranges: int) -> Iterator[tuple]:
+    if not len(keys):
+        return
+    at = _ranges(keys, width, ranges)
+    edges = np.r_[0, np.flatnonzero(np.diff(at)) + 1, len(at)].tolist()
+    for i, j in zip(edges, edges[1:]):
+        gaps = np.diff(keys[i:j], prepend=np.uint64(0))
+        yield group, int(at[i]), child, child_rng, n, pack(gaps), pack(main[i:j].astype(np.uint64)), pack(tuning[i:j].astype(np.uint64))
+
+
+def _arrow(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)})
+
+
+def _merged(blocks: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys of blocks of one order, their summed counts, and the places of each block's keys among them."""
+    keys = [np.cumsum(unpack(b["gaps"], np.uint64), dtype=np.uint64) for b in blocks]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(place, np.concatenate([unpack(b[c], np.uint64) for b in blocks]), len(distinct)).astype(np.int64) for c in ("main", "tuning")]
+    return distinct, *sums, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def _by_order(blocks: pa.Table, order: int) -> Iterator[tuple[int, list[dict]]]:
+    rows = blocks.to_pylist()
+    for n in range(1, order + 1):
+        if mine := [r for r in rows if r["n"] == n]:
+            yield n, mine
+
+
+def exchange(blocks: DataFrame, groups: int, ranges: int, order: int, bits: int, fan: int) -> tuple[DataFrame, int]:
+    """What the corpus has of every block's keys, in their order (``ANSWER``), and the number of distinct unigrams in training documents."""
+
+    def answer(blocks: list[dict], n: int, main: np.ndarray, tuning: np.ndarray, places: list[np.ndarray]) -> list[tuple]:
+        return [(b["child"], b["child_rng"], b["rng"], n, pack(main[p]), pack(tuning[p]), None) for b, p in zip(blocks, places)]
+
+    def add(range_: pa.Table) -> pa.Table:
+        out = []
+        for n, mine in _by_order(range_, order):
+            _, main, tuning, places = _merged(mine)
+            out += answer(mine, n, main, tuning, places)
             if n == 1:
-                context = np.full(n_tokens, total)
-            else:
-                context = np.r_[0, counts[n - 2][self.place[n - 2]][:-1]]
-                context[self.first] = docs
-            known = context > 0
-            f[n] = np.divide(mine, context, out=np.zeros(n_tokens), where=known)
-            if n > 1:
-                bucket = np.where(known, n * 64 + np.log2(np.maximum(context, 1)).astype(np.int64), bucket)
-        return f, bucket
+                out.append((-1, 0, mine[0]["rng"], n, None, None, int(np.count_nonzero(main + tuning))))
+        return _arrow(out, ANSWER)
+
+    if groups == 1:
+        counts = materialise(blocks.groupBy("rng").applyInArrow(add, ANSWER), "counts")
+        distinct = counts.where("child = -1").agg(F.sum("found")).first()[0] or 0
+        return counts.where("child >= 0"), distinct
 
+    above = -(-groups // fan)
 
-def _slots(keys: np.ndarray, slots: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+    def merge(group: pa.Table) -> pa.Table:
+        out = []
+        for n, mine in _by_order(group, order):
+            keys, main, tuning, _ = _merged(mine)
+            g, r = mine[0]["grp"], mine[0]["rng"]
+            out += _blocks(g % above, g, r, n, keys, main, tuning, _width(n, bits), ranges * fan)
+        return _arrow(out, BLOCK)
 
+    def back(group: pa.Table, totals: pa.Table) -> pa.Table:
+        out, found = [], sorted(totals.to_pylist(), key=lambda r: r["rng"])
+        for n, mine in _by_order(group, order):
+            places = _merged(mine)[3]
+            main, tuning = (np.concatenate([unpack(r[c], np.int64) for r in found if r["n"] == n]) for c in ("main", "tuning"))
+            out += answer(mine, n, main, tuning, places)
+        return _arrow(out, ANSWER)
 
-def corpus_counts(bundles: DataFrame, order: int, slots: int) -> DataFrame:
-    """bundle, n, slot, main, tuning: corpus-wide counts of the bundle's keys in that hash range, in their order.
+    blocks = materialise(blocks, "blocks")
+    upper = blocks.groupBy("grp", "rng").applyInArrow(merge, BLOCK)
+    totals, distinct = exchange(upper, above, ranges * fan, order, bits, fan)
+    keyed = totals.withColumnRenamed("rng", "at").selectExpr("child AS grp", "child_rng AS rng", "at", "n", "main", "tuning")
 
-    The row of bundle -1 has in ``distinct`` how many unigrams of the range occur in training documents.
-    """
+    def back_keyed(key: tuple, group: pa.Table, totals: pa.Table) -> pa.Table:
+        return back(group, totals.drop_columns(["grp", "rng"]).rename_columns(["rng", "n", "main", "tuning"]))
+
+    answers = blocks.groupBy("grp", "rng").cogroup(keyed.groupBy("grp", "rng")).applyInArrow(back_keyed, ANSWER)
+    return materialise(answers, "answers"), distinct
+
+
+def corpus_counts(bundles: DataFrame, order: int, tokens: int, bits: int, fan: int = FAN) -> tuple[DataFrame, int]:
+    """Corpus-wide counts of the keys of every bundle: answers whose ``child`` is the bundle, and the number of distinct unigrams."""
+    groups = max(1, -(-bundles.count() // fan))
+    ranges = max(1, -(-tokens // (groups * SLOT_TOKENS)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b = Bundle(row["doc_ids"], row["sizes"], row["vocabulary"], row["tokens"], order)
-                out: list[list] = [[] for _ in range(6)]
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                b = Bundle(row["doc_ids"], row["sizes"], row["vocabulary"], row["tokens"], order, bits)
+                group = int(mix(np.array([row["bundle"]], np.uint64))[0] % np.uint64(groups))
                 for n in range(1, order + 1):
-                    keys = b.keys[n - 1]
-                    main, tuning = b.counts(n)
-                    slot = _slots(keys, slots)
-                    edges = np.searchsorted(slot, np.arange(slots + 1))
-                    for s in range(slots):
-                        i, j = int(edges[s]), int(edges[s + 1])
-                        if i < j:
-                            gaps = np.diff(keys[i:j], prepend=np.uint64(0))
-                            cells = (s, row["bundle"], n, pack(gaps), pack(main[i:j].astype(np.uint32)), pack(tuning[i:j].astype(np.uint32)))
-                            for column, cell in zip(out, cells):
-                                column.append(cell)
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["slot", "bundle", "n", "gaps", "main", "tuning"])
-
-    def add(slot: pa.Table) -> pa.Table:
-        rows = slot.to_pylist()
-        out = []
-        for n in range(1, order + 1):
-            mine = [r for r in rows if r["n"] == n]
-            if not mine:
-                continue
-            keys = [np.cumsum(unpack(r["gaps"], np.uint64), dtype=np.uint64) for r in mine]
-            distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-            main = np.bincount(place, np.concatenate([unpack(r["main"], np.uint32) for r in mine]), len(distinct))
-            tuning = np.bincount(place, np.concatenate([unpack(r["tuning"], np.uint32) for r in mine]), len(distinct))
-            at = 0
-            for r, k in zip(mine, keys):
-                here = place[at : at + len(k)]
-                at += len(k)
-                out.append((r["bundle"], n, r["slot"], pack(main[here].astype(np.int64)), pack(tuning[here].astype(np.int64)), None))
-            if n == 1:
-                out.append((-1, 1, mine[0]["slot"], None, None, int(np.count_nonzero(main + tuning))))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
-        return pa.table({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(zip(("bundle", "n", "slot", "main", "tuning", "distinct"), kinds))})
+                    out = list(_blocks(group, row["bundle"], 0, n, b.keys[n - 1], *b.counts(n), _width(n, bits), ranges))
+                    yield from _arrow(out, BLOCK).to_batches()
 
-    sent = bundles.select("bundle", "doc_ids", "sizes", "vocabulary", "tokens").mapInArrow(
-        send, "slot int, bundle long, n int, gaps binary, main binary, tuning binary"
-    )
-    return sent.groupBy("slot").applyInArrow(add, "bundle long, n int, slot int, main binary, tuning binary, distinct long")
+    blocks = bundles.select("bundle", "doc_ids", "sizes", "vocabulary", "tokens").mapInArrow(send, BLOCK)
+    return exchange(blocks, groups, ranges, order, bits, fan)
 
 
-def _with_counts(bundle: pa.Table, counts: pa.Table, order: int) -> tuple[Bundle, list[np.ndarray], list[np.ndarray]]:
+def _with_counts(bundle: pa.Table, counts: pa.Table, order: int, bits: int) -> tuple[Bundle, list[np.ndarray], list[np.ndarray]]:
     row = bundle.to_pylist()[0]
-    b = Bundle(row["doc_ids"], row["sizes"], row["vocabulary"], row["tokens"], order)
-    rows = sorted(counts.select(["n", "slot", "main", "tuning"]).to_pylist(), key=lambda r: (r["n"], r["slot"]))
+    b = Bundle(row["doc_ids"], row["sizes"], row["vocabulary"], row["tokens"], order, bits)
+    rows = sorted(counts.select(["n", "rng", "main", "tuning"]).to_pylist(), key=lambda r: (r["n"], r["rng"]))
     got = [[np.concatenate([unpack(r[c], np.int64) for r in rows if r["n"] == n]) for n in range(1, order + 1)] for c in ("main", "tuning")]
     assert all(len(g) == len(k) for g, k in zip(got[0], b.keys))
     return b, got[0], got[1]
 
 
-def learn_weights(cells: dict[int, tuple[np.ndarray, np.ndarray]], order: int) -> dict[int, np.ndarray]:
-    """Mixture weights of each bucket by expectation-maximisation.
+def learn_weights(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Mixture weights of a bucket by expectation-maximisation.
 
-    ``cells``: per bucket the estimates relative to order 0 (rows: cells) and
-    how many held-out tokens each cell has. Bucket -1 gets the weights over all
-    tokens, for buckets that no held-out token was in. One token's worth of the
-    uniform estimate is added, so that its weight is never zero.
+    ``ratio``: the estimates of orders 1 and up relative to order 0 (rows:
+    cells); ``n``: how many tuning tokens each cell has. One token's worth of
+    the uniform estimate is added, so that its weight is never zero.
     """
-    everything = tuple(np.concatenate([v[k] for v in cells.values()]) for k in (0, 1)) if cells else (np.ones((0, order + 1)), np.zeros(0))
-    out = {}
-    for bucket, (ratio, n) in [*cells.items(), (-1, everything)]:
-        ratio, n = np.r_[ratio, [[1.0, *[0.0] * order]]], np.r_[n, 1.0]
+    order = ratio.shape[1]
+    ratio = np.c_[np.ones(len(ratio) + 1), np.r_[ratio, np.zeros((1, order))]]
+    n = np.r_[n, 1.0]
+    weight = np.full(order + 1, 1 / (order + 1))
+    for _ in range(EM_STEPS):
+        joint = ratio * weight
+        weight = (n[:, None] * joint / joint.sum(1, keepdims=True)).sum(0) / n.sum()
+    return weight
+
+
+def weights_of(bucket: int, learned: dict[int, np.ndarray], order: int, total: int) -> np.ndarray:
+    """The weights of a bucket: its own, or those of the nearest bucket that tuning tokens were in (of its order if there is one).
+
+    The mass of orders whose context is unknown goes to the rest.
+    """
+    if not learned:
         weight = np.full(order + 1, 1 / (order + 1))
-        for _ in range(EM_STEPS):
-            joint = ratio * weight
-            weight = (n[:, None] * joint / joint.sum(1, keepdims=True)).sum(0) / n.sum()
-        out[bucket] = weight
-    return out
+    else:
+        weight = learned[min(learned, key=lambda k: (abs(k // 64 - bucket // 64), abs(k - bucket), k))]
+    usable = weight.copy()
+    usable[max(bucket // 64, 1 if total else 0) + 1 :] = 0
+    return usable / usable.sum()
 
 
-def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, fan: int = FAN) -> DataFrame:
     """Unigram base score and interpolated score (log10) of every whole text.
 
     Output, a row for each row of ``docs``: doc_id, held_out, n_tokens, n_known,
@@ -234,69 +315,71 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     * Without training documents all counts are 0 and both scores are those of
       the uniform estimate. Extra columns are ignored; an empty table gives none.
     """
+    spark = docs.sparkSession
     bundles = materialise(bundle_rows(docs), "bundles")
     folds = bundles.select("tuning", F.explode(F.arrays_zip("doc_ids", "sizes")).alias("d")).select("tuning", "d.doc_ids", "d.sizes")
     fold = F.crc32(F.coalesce(F.col("doc_ids").cast("string"), F.lit("")).cast("binary")) % FOLDS
-    kept = folds.where(fold != HELD_OUT).groupBy("tuning").agg(F.sum("sizes").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()
-    tokens = {r["tuning"]: r["tokens"] for r in kept}
-    n_docs = {r["tuning"]: r["docs"] for r in kept}
-    all_tokens = bundles.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    kept = folds.groupBy("tuning", (fold != HELD_OUT).alias("trains")).agg(F.sum("sizes").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()
+    tokens = {r["tuning"]: r["tokens"] for r in kept if r["trains"]}
+    n_docs = {r["tuning"]: r["docs"] for r in kept if r["trains"]}
+    all_tokens = sum(r["tokens"] for r in kept)
     total, train_docs = sum(tokens.values()), sum(n_docs.values())
-    slots = max(1, -(-all_tokens // SLOT_TOKENS))
-    counts = materialise(corpus_counts(bundles, order, slots), "counts")
-    vocabulary = counts.where("bundle = -1").agg(F.sum("distinct")).first()[0] or 0
+    bits = key_bits(all_tokens)
+    counts, vocabulary = corpus_counts(bundles, order, all_tokens, bits, fan)
+    free_shuffles(spark)
     main_total, main_docs = tokens.get(False, 0), n_docs.get(False, 0)
+    uniform = 1 / (vocabulary + 1)
 
     def cells_of(key: tuple, bundle: pa.Table, found: pa.Table) -> pa.Table:
-        b, main, _ = _with_counts(bundle, found, order)
-        f, bucket = b.estimates(main, main_docs, main_total, vocabulary)
-        with np.errstate(divide="ignore"):
-            cell = np.where(f[1:] > 0, np.round(np.log2(f[1:] / f[0]) * CELLS), NONE).astype(np.int64)
-        stacked, n = np.unique(np.vstack([bucket, cell]), axis=1, return_counts=True)
-        return pa.table({"bucket": stacked[0], "cell": pa.array(stacked[1:].T.tolist(), pa.list_(pa.int64())), "n": n})
-
-    tuned = counts.join(bundles.where("tuning").select("bundle"), "bundle", "left_semi").drop("distinct")
-    tuning = bundles.where("tuning").drop("tuning").groupBy("bundle").cogroup(tuned.groupBy("bundle"))
-    seen = tuning.applyInArrow(cells_of, "bucket long, cell array<long>, n long").groupBy("bucket", "cell").agg(F.sum("n").alias("n")).collect()
-    by_bucket: dict[int, list] = {}
-    for r in sorted(seen, key=lambda r: (r["bucket"], r["cell"])):
-        ratio = [1.0, *[0.0 if c == NONE else 2.0 ** (c / CELLS) for c in r["cell"]]]
-        by_bucket.setdefault(r["bucket"], []).append((ratio, r["n"]))
-    weights = learn_weights({k: (np.array([x for x, _ in v]), np.array([n for _, n in v], float)) for k, v in by_bucket.items()}, order)
+        b, main, _ = _with_counts(bundle, found, order, bits)
+        columns = [b.buckets(main, main_docs)]
+        for n in range(1, order + 1):
+            with np.errstate(divide="ignore"):
+                f = b.estimate(n, main, main_docs, main_total)
+                columns.append(np.where(f > 0, np.round(np.log2(f / uniform) * CELLS), NONE).astype(np.int16))
+        stacked, n = np.unique(np.stack(columns), axis=1, return_counts=True)
+        return pa.table({"bucket": pa.array(stacked[0], pa.int64()), "cell": pa.array(stacked[1:].T.astype(np.int64).tolist(), pa.list_(pa.int64())), "n": n})
+
+    def learn(bucket: pa.Table) -> pa.Table:
+        bucket = bucket.sort_by("cell_key").select(["bucket", "cell", "n"])
+        cell = np.array(bucket.column("cell").to_pylist(), float).reshape(bucket.num_rows, order)
+        ratio = np.where(cell == NONE, 0.0, np.exp2(cell / CELLS))
+        weight = learn_weights(ratio, bucket.column("n").to_numpy().astype(float))
+        return pa.table({"bucket": bucket.column("bucket")[:1], "weight": pa.array([weight.tolist()], pa.list_(pa.float64()))})
+
+    tuned = counts.join(bundles.where("tuning").select(F.col("bundle").alias("child")), "child", "left_semi")
+    tuning = bundles.where("tuning").drop("tuning").groupBy("bundle").cogroup(tuned.groupBy("child"))
+    seen = tuning.applyInArrow(cells_of, "bucket long, cell array<long>, n long").groupBy("bucket", "cell").agg(F.sum("n").alias("n"))
+    # a bucket's cells are as many as estimates differ at the resolution of ``CELLS``, whatever the corpus; one row a bucket comes to the driver
+    seen = seen.withColumn("cell_key", F.concat_ws(",", F.transform("cell", lambda c: c.cast("string"))))
+    learned = {r["bucket"]: np.array(r["weight"]) for r in seen.groupBy("bucket").applyInArrow(learn, "bucket long, weight array<double>").collect()}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(key: tuple, bundle: pa.Table, found: pa.Table) -> pa.Table:
-        b, main, tuning = _with_counts(bundle, found, order)
+        b, main, tuning = _with_counts(bundle, found, order, bits)
         whole = [x + y for x, y in zip(main, tuning)]
-        f, bucket = b.estimates(whole, train_docs, total, vocabulary)
+        del main, tuning
         c = whole[0][b.place[0]]
-        base = np.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1)))
-        names, place = np.unique(bucket, return_inverse=True)
-        mixed = np.zeros(f.shape[1])
-        lam = np.array([_usable(weights.get(k, weights[-1]), k // 64, order, total) for k in names.tolist()])
-        for n in range(order + 1):
-            mixed += lam[place, n] * f[n]
         by_doc = lambda x: np.add.reduceat(x, b.start)
+        known, base = by_doc((c > 0).astype(np.int64)), by_doc(np.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1))))
+        names, place = np.unique(b.buckets(whole, train_docs), return_inverse=True)
+        lam = np.array([weights_of(k, learned, order, total) for k in names.tolist()])
+        mixed = lam[place, 0] * uniform
+        for n in range(1, order + 1):
+            mixed += lam[place, n] * b.estimate(n, whole, train_docs, total)
         return pa.table({
             "doc_id": pa.array(b.ids, bundle.schema.field("doc_ids").type.value_type),
             "held_out": pa.array([remainder(i) == HELD_OUT for i in b.ids]), "n_tokens": b.sizes,
-            "n_known": by_doc((c > 0).astype(np.int64)), "train_tokens": np.full(len(b.ids), total, np.int64),
-            "base_score": by_doc(base), "score": by_doc(np.log10(mixed)),
+            "n_known": known, "train_tokens": np.full(len(b.ids), total, np.int64),
+            "base_score": base, "score": by_doc(np.log10(mixed)),
         })
 
-    matched = bundles.drop("tuning").groupBy("bundle").cogroup(counts.where("bundle >= 0").drop("distinct").groupBy("bundle"))
+    matched = bundles.drop("tuning").groupBy("bundle").cogroup(counts.drop("found", "child_rng").groupBy("child"))
     return matched.applyInArrow(
         score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 
-def _usable(weight: np.ndarray, level: int, order: int, total: int) -> np.ndarray:
-    """Weights with the mass of orders whose context is unknown given to the rest."""
-    usable = weight.copy()
-    usable[max(level, 1 if total else 0) + 1 :] = 0
-    return usable / usable.sum()
-
-
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))

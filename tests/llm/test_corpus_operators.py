@@ -183,16 +183,92 @@ def test_lm_sees_two_words_of_context(spark):
     assert got[out[0]] > got[out[1]] + 0.1  # to one word of context they are alike
 
 
+def brute_scores(rows, order):
+    """Deleted interpolation written out over dictionaries; rows are (doc_id, text)."""
+    crc = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10
+
+    def grams(text):
+        w = [*ascii_words(text), "</s>"]
+        return [[tuple((["<s>"] * order + w)[k + order + 1 - n : k + order + 1]) for n in range(1, order + 1)] for k in range(len(w))]
+
+    def counted(folds):
+        c, docs, total = [collections.Counter() for _ in range(order + 1)], 0, 0
+        for i, t in rows:
+            if crc(i) in folds:
+                docs += 1
+                for by_order in grams(t):
+                    total += 1
+                    for n, g in enumerate(by_order, 1):
+                        c[n][g] += 1
+        return c, docs, total
+
+    everything = counted(set(range(1, 10)))
+    vocabulary = len(everything[0][1])
+
+    def estimates(text, counts):
+        c, docs, total = counts
+        before = None
+        for by_order in grams(text):
+            f, bucket = [1 / (vocabulary + 1)], 0
+            for n, g in enumerate(by_order, 1):
+                context = total if n == 1 else docs if before is None else c[n - 1][before[n - 2]]
+                f.append(c[n][g] / context if context else 0.0)
+                if n > 1 and context:
+                    bucket = n * 64 + int(math.log2(context))
+            yield f, bucket
+            before = by_order
+
+    main, cells = counted(set(range(2, 10))), {}
+    for i, t in rows:
+        if crc(i) == 1:
+            for f, bucket in estimates(t, main):
+                cell = tuple(round(math.log2(x / f[0]) * lm.CELLS) if x else None for x in f[1:])
+                cells.setdefault(bucket, collections.Counter())[cell] += 1
+    learned = {}
+    for bucket, some in cells.items():
+        points = [([1.0, *(0.0 if x is None else 2 ** (x / lm.CELLS) for x in cell)], m) for cell, m in some.items()] + [([1.0] + [0.0] * order, 1)]
+        w, mass = [1 / (order + 1)] * (order + 1), sum(m for _, m in points)
+        for _ in range(lm.EM_STEPS):
+            new = [0.0] * (order + 1)
+            for r, m in points:
+                joint = [x * y for x, y in zip(r, w)]
+                for k, x in enumerate(joint):
+                    new[k] += m * x / sum(joint)
+            w = [x / mass for x in new]
+        learned[bucket] = w
+    out = []
+    for _, t in rows:
+        score = 0.0
+        for f, bucket in estimates(t, everything):
+            w = learned[min(learned, key=lambda k: (abs(k // 64 - bucket // 64), abs(k - bucket), k))] if learned else [1 / (order + 1)] * (order + 1)
+            w = [x if n <= max(bucket // 64, 1 if everything[2] else 0) else 0.0 for n, x in enumerate(w)]
+            score += math.log10(sum(x * y for x, y in zip(w, f)) / sum(w))
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("order, fan, bundle", [(2, 256, 2_000_000), (3, 256, 300), (3, 2, 150), (4, 3, 200)])
+def test_lm_scores_equal_brute_force(spark, monkeypatch, order, fan, bundle):
+    monkeypatch.setattr(lm, "BUNDLE_TOKENS", bundle)
+    monkeypatch.setattr(lm, "SLOT_TOKENS", 400)
+    rng = random.Random(order)
+    words = ["the", "cat", "sat", "on", "mat", "a", "dog", *(f"w{k}" for k in range(40))]
+    rows = [(k, " ".join(rng.choice(words[: rng.choice([4, 8, 47])]) for _ in range(rng.randint(0, 25)))) for k in range(250)]
+    rows += [(600, None), (601, ""), (None, "zebra the cat"), (602, "the cat " * 300)]
+    got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, DOCS).repartition(3), order, fan).collect()}
+    for (i, _), want in zip(rows, brute_scores(rows, order)):
+        assert got[i] == pytest.approx(want, rel=1e-6), i
+
+
 def test_lm_probabilities_sum_to_one():
     tokens = np.array([1, 2, 1, 3, int(lm.END), 1, 2, int(lm.END)], np.uint64)
     vocabulary, place = np.unique(tokens, return_inverse=True)
-    b = lm.Bundle([3, 4], [5, 3], lm.pack(vocabulary), lm.pack(place.astype(np.uint32)), 2)
+    b = lm.Bundle([3, 4], [5, 3], lm.pack(vocabulary), lm.pack(place.astype(np.uint32)), 2, 48)
     counts = [np.bincount(p, minlength=len(k)) for p, k in zip(b.place, b.keys)]
-    f, bucket = b.estimates(counts, 2, 8, 4)
     after_one = [1, 3, 6]  # tokens whose context is the token 1, which occurs three times
-    assert sorted(f[2, after_one]) == pytest.approx([1 / 3, 2 / 3, 2 / 3]) and f[1, 0] == 3 / 8 and f[0, 0] == 1 / 5
-    weights = lm.learn_weights({128: (np.array([[1.0, 2.0, 8.0], [1.0, 2.0, 0.0]]), np.array([9.0, 1.0]))}, 2)
-    assert all(w.sum() == pytest.approx(1) and w[0] > 0 for w in weights.values()) and weights[128][2] > 0.5
+    assert sorted(b.estimate(2, counts, 2, 8)[after_one]) == pytest.approx([1 / 3, 2 / 3, 2 / 3]) and b.estimate(1, counts, 2, 8)[0] == 3 / 8
+    w = lm.learn_weights(np.array([[2.0, 8.0], [2.0, 0.0]]), np.array([9.0, 1.0]))
+    assert w.sum() == pytest.approx(1) and w[0] > 0 and w[2] > 0.5
 
 
 def test_quality_holds_out(spark):
