@@ -1,10 +1,14 @@
 """Main-text extraction by composite text density.
 
-A page becomes a tree of block elements. Every node has its characters, its
-link characters, its blocks and its link tags; their link-adjusted ratio is the
-node's density. The subtree with the largest sum of child densities is the
-text, widened along its path to the body by all that reaches the smallest
-density on that path; sparse blocks of links are left out of it.
+A page becomes a tree of its elements. Every node has its characters, its link
+characters, its tags and its link tags; their link-adjusted ratio is the node's
+density. The subtree with the largest sum of child densities is the text,
+widened along its path to the body by all blocks that reach the smallest density
+on that path; sparse blocks of links are left out of it. Inline elements count
+and have densities, but their text goes with the block around them.
+
+Reading a page takes time in proportion to its length, however deep or broken
+its tags are.
 """
 
 from __future__ import annotations
@@ -31,17 +35,22 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose content is never main text; what a page calls such blocks is evidence only, see ``_drop_named``.
 NOT_TEXT = RAW | frozenset("head nav footer aside form button select option input menu dialog search canvas audio video".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-NOT_TEXT_NAME = re.compile(
-    r"(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promo(?:tion|ted|s)?|banner|cookies?|consent|gdpr|notices?|"
-    r"alert|popup|modal|overlay|newsletter|subscri(?:be|ption)|sign-?up|login|nav|navbar|navigation|menus?|breadcrumbs?|"
-    r"sidebar|side-bar|widgets?|related|recommend(?:ed|ations)?|trending|popular|share|sharing|social|footer|masthead|"
-    r"site-?header|page-?header|top-?bar|skip-?link|comments?|comment-?list|replies|disqus|respond|pager|pagination|"
-    r"toc|copyright|legal|disclaimer|toolbar)",
+#: Class and id names that pages give to what is not main text; strong ones tell inside an article too.
+STRONG_NAME = re.compile(
+    r"(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promo(?:tion|ted|s)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|"
+    r"overlay|newsletter|subscri(?:be|ption)|sign-?up|login|nav|navbar|navigation|menus?|breadcrumbs?|sidebar|side-bar|comments?|comment-?list|"
+    r"replies|disqus|skip-?link)",
     re.I,
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
+WEAK_NAME = re.compile(
+    r"(?:widgets?|related|recommend(?:ed|ations)?|trending|popular|share|sharing|social|footer|masthead|site-?header|page-?header|top-?bar|"
+    r"respond|pager|pagination|toc|copyright|legal|disclaimer|toolbar)",
+    re.I,
+)
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: An attribute's name and, after an equals sign, where its value starts.
+ATTRIBUTE_NAME = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
+BARE_VALUE = re.compile(r"[^\s>]*")
 #: A start tag of these ends an open paragraph.
 ENDS_P = BLOCKS - frozenset("td th tr thead tbody tfoot caption html body".split()) | frozenset(["hr"])
 #: A start tag of the key ends an open element of the values, up to their container.
@@ -52,12 +61,12 @@ SIBLINGS = {
 
 
 class Node:
-    """A block element: ``items`` holds strings and blocks in page order."""
+    """An element: ``items`` holds strings and elements in page order."""
 
-    __slots__ = ("tag", "parent", "items", "skip", "chars", "link_chars", "tags", "links", "density", "total", "holds", "within", "named")
+    __slots__ = ("tag", "parent", "items", "skip", "inline", "chars", "link_chars", "tags", "links", "density", "total", "holds", "within", "named")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
+        self.tag, self.parent, self.skip, self.inline = tag, parent, skip, tag not in BLOCKS
         self.items: list[str | Node] = []
         self.chars = self.link_chars = self.tags = self.links = 0
         self.density = self.total = 0.0
@@ -65,39 +74,106 @@ class Node:
         self.named = ""
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _unwanted(tag: str, found: dict[str, str], in_article: bool) -> bool:
     if tag in NOT_TEXT or (tag == "header" and not in_article):
         return True
-    if not attributes:
+    if not found:
         return False
-    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in NOT_TEXT_ROLES or found.get("aria-hidden", "").lower() == "true":
         return True
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) or "display:none" in found.get("style", "").replace(" ", ""):
-        return True
-    return False
+    return "hidden" in found or "display:none" in re.sub(r"\s", "", found.get("style", "")).lower()
 
 
-def _named(tag: str, attributes: str) -> str:
-    """Which attribute has a whole token that pages give to what is not main text: ``class``, ``id`` or none."""
-    if not attributes or tag in HEADINGS or tag in ("html", "body", "article", "main"):
+def _named(tag: str, found: dict[str, str]) -> str:
+    """What a block's names say, by whole tokens: ``strong`` or ``weak`` for a class, ``id``, or nothing."""
+    if not found or tag in HEADINGS or tag in ("html", "body", "article", "main"):
         return ""
-    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-    for name in ("class", "id"):
-        if any(map(NOT_TEXT_NAME.fullmatch, found.get(name, "").split())):
-            return name
+    for name, pattern, says in (("class", STRONG_NAME, "strong"), ("class", WEAK_NAME, "weak"), ("id", STRONG_NAME, "id"), ("id", WEAK_NAME, "id")):
+        if any(map(pattern.fullmatch, found.get(name, "").split())):
+            return says
     return ""
 
 
+class Tags:
+    """The tags of a page in order, read as browsers read them."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int]:
+        """The attributes of a start tag from ``at`` on, and where the tag ends; -1 if the page breaks off in it."""
+        page, found = self.page, {}
+        while True:
+            m = ATTRIBUTE_NAME.match(page, at)
+            if m is None:
+                end = page.find(">", at)
+                return found, end + 1 if end >= 0 else -1
+            at, value = m.end(), ""
+            if m[2]:
+                quote = page[at : at + 1]
+                if quote in self.last and quote and self.last[quote] > at:
+                    stop = page.find(quote, at + 1)
+                    value, at = page[at + 1 : stop], stop + 1
+                else:  # a value without quotes, or one whose quote never ends
+                    value = BARE_VALUE.match(page, at)[0]
+                    at += len(value)
+            found.setdefault(m[1].lower(), references.unescape(value) if "&" in value else value)
+
+    def __iter__(self) -> Iterator[tuple[str, str, dict[str, str]]]:
+        """(kind, value, attributes): ``text`` pieces, ``start`` and ``end`` tags; comments and the like are passed over."""
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            lt = page.find("<", at)
+            if lt < 0:
+                yield "text", page[at:], {}
+                return
+            follows = page[lt + 1 : lt + 2]
+            if follows == "/" and TAG_NAME.match(page, lt + 2):
+                kind, name = "end", TAG_NAME.match(page, lt + 2)
+            elif follows and follows.isascii() and follows.isalpha():
+                kind, name = "start", TAG_NAME.match(page, lt + 1)
+            elif follows in ("!", "?", "/") and follows:
+                yield "text", page[at:lt], {}
+                if page.startswith("<!--", lt):
+                    end = -1 if page.startswith(("<!-->", "<!--->"), lt) else page.find("-->", lt + 4)
+                    at = page.find(">", lt) + 1 if page.startswith(("<!-->", "<!--->"), lt) else end + 3 if end >= 0 else n
+                elif page.startswith("<![CDATA[", lt):
+                    end = page.find("]]>", lt)
+                    at = end + 3 if end >= 0 else n
+                else:
+                    end = page.find(">", lt)
+                    at = end + 1 if end >= 0 else n
+                continue
+            else:  # no tag: the sign itself
+                yield "text", page[at : lt + 1], {}
+                at = lt + 1
+                continue
+            if lt > at:
+                yield "text", page[at:lt], {}
+            found, at = self.attributes(name.end())
+            if at < 0:
+                return
+            tag = name[0].lower()
+            yield kind, tag, found
+            if kind == "start" and tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                if end is None:
+                    return
+                end = page.find(">", end.end())
+                at = end + 1 if end >= 0 else n
+
+
 def parse(page: str) -> Node:
-    """The tree of block elements, with links counted where they stand.
+    """The tree of elements, with links counted where they stand.
 
     Unclosed and misnested tags end where a browser would end them: a
     paragraph at the next block, a list item at the next, all at their parent.
     """
     root = Node("html", None, False)
-    node, stack = root, [("html", root)]  # open elements: name and the block they are in
-    anchor, at, n = 0, 0, len(page)
+    node, stack, blocks = root, [root], [0]  # open elements, and which of them are blocks
+    places: dict[str, list[int]] = {}
+    anchors = 0
 
     def text(piece: str) -> None:
         if piece and not node.skip:
@@ -105,79 +181,57 @@ def parse(page: str) -> Node:
             node.items.append(piece)
             chars = len(piece) - piece.count(" ")
             node.chars += chars
-            node.link_chars += chars if anchor else 0
+            node.link_chars += chars if anchors else 0
 
     def close(depth: int) -> None:
-        nonlocal node, anchor
+        nonlocal node, anchors
         while len(stack) > depth:
-            tag, _ = stack.pop()
-            anchor -= tag == "a"
-        node = stack[-1][1]
-
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            tail = page[at:]
-            cut = re.search(r"<[/!?a-zA-Z]", tail)  # a tag that the page breaks off in
-            text(tail[: cut.start()] if cut else tail)
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+            tag = stack.pop().tag
+            places[tag].pop()
+            anchors -= tag == "a"
+        while blocks[-1] >= depth:
+            blocks.pop()
+        node = stack[-1]
+
+    def last(names: set[str]) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
+    for kind, tag, found in Tags(page):
+        if kind == "text":
+            text(tag)
             continue
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                name, block = stack[depth]
-                if name == tag:
-                    close(depth)
-                    break
-                if tag not in BLOCKS and name in BLOCKS:
-                    break  # an inline end tag does not close a block
+        if kind == "end":
+            if places.get(tag) and (tag in BLOCKS or places[tag][-1] > blocks[-1]):
+                close(places[tag][-1])  # an inline end tag does not close a block
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
             continue
+        if tag in ENDS_P and stack[blocks[-1]].tag == "p":
+            close(blocks[-1])
         if tag in VOID:
-            if tag in ("br", "hr", "wbr"):
-                if tag == "hr":
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] == "p":
-                            close(depth)
-                            break
-                if tag != "wbr" and not node.skip:
-                    node.items.append(" ")
+            if tag in ("br", "hr") and not node.skip:
+                node.items.append(" ")
             continue
-        if tag in ENDS_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    close(depth)
-                    break
-                if stack[depth][0] in BLOCKS:
-                    break
         if tag in SIBLINGS:
             ended, container = SIBLINGS[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in container:
-                    break
-                if stack[depth][0] in ended:
-                    close(depth)
-                    break
+            if (depth := last(ended)) > last(container):
+                close(depth)
         if tag in ("html", "body"):
             continue
-        if stack[-1][0] == "head" and tag != "head":
+        if stack[-1].tag == "head" and tag != "head":
             close(len(stack) - 1)
-        unwanted = node.skip or _unwanted(tag, m[3].rstrip("/ "), any(name in ("article", "main") for name, _ in stack))
-        if tag in BLOCKS or unwanted:
-            child = Node(tag, node, unwanted)
-            child.named = "" if unwanted else _named(tag, m[3].rstrip("/ "))
-            node.items.append(child)
-            node = child
+        unwanted = node.skip or _unwanted(tag, found, bool(places.get("article") or places.get("main")))
+        child = Node(tag, node, unwanted)
+        child.named = "" if unwanted or child.inline else _named(tag, found)
+        node.items.append(child)
+        node = child
         if tag == "a":
-            anchor += 1
+            anchors += 1
             node.links += not node.skip
-        stack.append((tag, node))
+        places.setdefault(tag, []).append(len(stack))
+        if not child.inline:
+            blocks.append(len(stack))
+        stack.append(node)
     return root
 
 
@@ -192,8 +246,9 @@ def _drop_named(order: list[Node]) -> list[Node]:
     """The nodes that stay when blocks with names of what is not main text are dropped, on evidence.
 
     A named block goes if half its text or more is links. By its class it also
-    goes if it holds at most half of the page's text or stands outside an
-    article or main with text. No block around such an article goes.
+    goes if it stands outside an article or main with text, or, for a strong
+    name, if it holds at most half of the page's text. No block around such an
+    article goes.
     """
     total = order[0].chars
     holds_article: set[int] = set()
@@ -212,7 +267,7 @@ def _drop_named(order: list[Node]) -> list[Node]:
             inside.add(id(x))
         if x.named and x.chars and id(x) not in holds_article:
             aside = bool(holds_article) and id(x) not in inside
-            if 2 * x.link_chars >= x.chars or (x.named == "class" and (aside or 2 * x.chars <= total)):
+            if 2 * x.link_chars >= x.chars or (x.named in ("strong", "weak") and aside) or (x.named == "strong" and 2 * x.chars <= total):
                 x.skip = True
                 up = x.parent
                 while up is not None:
@@ -261,7 +316,7 @@ def blocks_of(node: Node) -> list[str]:
 
     def flush() -> None:
         if run:
-            if block := SPACE.sub(" ", "".join(run)).strip(" "):
+            if block := " ".join("".join(run).split()):
                 out.append(block)
             run.clear()
 
@@ -270,9 +325,10 @@ def blocks_of(node: Node) -> list[str]:
         if isinstance(x, str):
             run.append(x)
             continue
-        flush()
+        if x is None or not x.inline:
+            flush()
         if x is not None and not x.skip:
-            pending += [None, *reversed(x.items)]
+            pending += reversed(x.items) if x.inline else [None, *reversed(x.items)]
     flush()
     return out
 
@@ -284,24 +340,29 @@ def extract(page: str | None) -> str:
     root = parse(page)
     order = measure(root)
     best = max(order, key=lambda x: x.total)  # the first of equals, so the outer one
+    while best.inline:
+        best = best.parent
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    threshold = min(x.density for x in path)
+    # an article or main on the path ends the part of it that sets the threshold: what lies outside must be as dense as what is in it
+    inside = max((k for k, x in enumerate(path) if x.tag in ("article", "main")), default=len(path) - 1)
+    threshold = min(x.density for x in path[: inside + 1])
     on_path = set(map(id, path))
     for x in reversed(order):
-        dense = x.chars > 0 and x.density >= threshold
+        dense = not x.inline and x.chars > 0 and x.density >= threshold
         x.holds = dense or id(x) in on_path or any(isinstance(y, Node) and not y.skip and y.holds for y in x.items)
     top = best
     for outer in path[1:]:
         inner = [x for x in outer.items if isinstance(x, Node) and not x.skip]
         rest = [x for x in inner if id(x) not in on_path and x.chars]
-        if any(x.holds or x.tag in HEADINGS for x in rest) or _own_density(outer, inner, root) >= threshold:
+        paragraphs = outer.tag in ("article", "main") and any(x.tag == "p" for x in rest)
+        if paragraphs or any(x.holds or x.tag in HEADINGS for x in rest) or _own_density(outer, inner, root) >= threshold:
             top = outer
     # what is short but no list of links stays with the text around it; the tag decides only there
     for x in order:
         around = x.parent is not None and x.parent.within
-        if x.chars and not (x.holds or x.tag in HEADINGS or (around and 2 * x.link_chars <= x.chars)):
+        if not x.inline and x.chars and not (x.holds or x.tag in HEADINGS or (around and (x.tag == "p" or 2 * x.link_chars <= x.chars))):
             x.skip = True
         x.within = x is best or x.tag in ("article", "main") or around
     return "\n".join(blocks_of(top))
@@ -309,10 +370,12 @@ def extract(page: str | None) -> str:
 
 def _own_density(node: Node, inner: list[Node], root: Node) -> float:
     """The density of the text that stands in a node and in none of its blocks; below all others if there is none."""
-    chars, link_chars, links = (getattr(node, k) - sum(getattr(x, k) for x in inner) for k in ("chars", "link_chars", "links"))
-    if not any(isinstance(x, str) and not x.isspace() for x in node.items) or chars <= 0:
+    blocks = [x for x in inner if not x.inline]
+    chars, link_chars, links = (getattr(node, k) - sum(getattr(x, k) for x in blocks) for k in ("chars", "link_chars", "links"))
+    if chars <= 0 or not any(not x.isspace() if isinstance(x, str) else x.inline and not x.skip and x.chars for x in node.items):
         return -1.0
-    return _density(chars, link_chars, 1, links, root.link_chars / max(root.chars, 1))
+    tags = 1 + sum(x.tags + 1 for x in inner if x.inline)
+    return _density(chars, link_chars, tags, links, root.link_chars / max(root.chars, 1))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
