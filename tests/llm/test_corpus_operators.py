@@ -155,6 +155,26 @@ def test_embeddings(spark):
     assert embeddings.near_embeddings(docs.where("false")).count() == 0
 
 
+def test_embeddings_walk_the_graphs(spark):
+    """Shards of some 500 vectors, one hot group of near copies: no graph is searched whole, and links equal brute force but for a few."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(150, 24))
+    rows = [(k, (centres[k % 150] + rng.normal(size=24) * (0.16 if k % 4 else 0.5)).tolist(), 0) for k in range(1500)]
+    rows += [(2000 + k, (centres[0] + rng.normal(size=24) * 0.05).tolist(), 0) for k in range(500)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    nodes = docs.selectExpr("'x' AS space", "xxhash64(embedding) AS vector_key", "embedding AS vector", "vec_id AS rep", "1L AS copies")
+    graphs = embeddings.shard_graphs(nodes, shard_rows=500).select("shard", "beam", "audited", "found").collect()
+    assert len(graphs) == 4 and all(g.beam > 0 for g in graphs) and all(g.audited > 500 and g.found >= 0.995 * g.audited for g in graphs)
+    got = {r.vec_id: r for r in embeddings.near_embeddings(docs, shard_rows=500).collect()}
+    unit = embeddings.unit_rows(np.array([r[1] for r in rows]))
+    links = unit @ unit.T >= 0.93
+    np.fill_diagonal(links, False)
+    found = np.array([got[i].n_links for i, _, _ in rows])
+    assert (found <= links.sum(1)).all() and found.sum() >= 0.99 * links.sum()
+    whole = {k: got[i].component_id for k, (i, _, _) in enumerate(rows)}
+    assert sum(whole[x] != whole[y] for x, y in zip(*np.nonzero(links))) <= 0.01 * links.sum()
+
+
 def test_lm_scores(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "mat", "A", "dog"]) for _ in range(rng.randint(0, 30))) for _ in range(150)]
