@@ -1,22 +1,24 @@
 """N-gram Jaccard join in metric space.
 
-Jaccard distance obeys the triangle inequality, so a pivot's distances tell
-which documents can still be within the radius of each other. Pivots that are
+Jaccard distance obeys the triangle inequality, so pivots' distances tell which
+documents can still be within the radius of each other. Pivots that are
 documents cannot split a whole corpus, though: unrelated texts all lie at a
 distance near 1 from every pivot. The regions of the first level are therefore
 found without distances, and exactly: in any one order of all shingles, two
 linked sets share a shingle among the first n - ceil(s n) + 1 of each. Frequent
 shingles come last in that order, by a sketch of their counts in the whole
 corpus. The documents of a size class (linked sets have like sizes) that share
-such a shingle meet at the smallest of them, the pivot; a document belongs to the region of each of its pivots, and every
-linked pair shares a region.
+such a shingle meet at the smallest of them; a document belongs to the region
+of each of these, and every linked pair shares a region.
 
 Within a region, parity bits first rule out, by a bound that holds always, the
 members that cannot be within the radius of another; only of the rest are the
-shingles moved. Members inside the radius of the pivot are linked to it. Others
-are compared only within triangle-inequality windows of their distances to the
-pivot, and a small group is split again by further pivots with the boundary
-replicated, until few enough are left to compare each.
+shingles moved. Then several pivots divide the region into Voronoi cells: a
+member belongs to the cell of its nearest pivot and is replicated to each cell
+whose pivot is at most two radii farther, since any partner in that cell would
+have it there. Members within the radius of a pivot are linked to it. Cells are
+divided again in the same way, in tasks of their own as long as they are large
+and inside a task below that, until few members are left to compare each.
 """
 
 from __future__ import annotations
@@ -24,12 +26,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bitmap_of, materialise, table
 from .components import components
 from .shingles import Shingler, mix, pack, unpack
 
@@ -39,9 +40,19 @@ WIDTH, PERCENT = 3, 90
 TILE = 256
 #: Members that are compared each with each without another pivot.
 LEAF = 24
-#: Counters of the frequency sketch and bits of the filter of needed texts, as powers of two.
-SKETCH_BITS, FILTER_BITS = 24, 23
+#: Pivots of a region, and how often cells of large regions are divided in tasks of their own.
+PIVOTS, DEPTH = 8, 4
+#: A cell larger than this share of its region is not worth dividing further.
+LEAST_SHRINK = 0.7
+#: Tiles of a large region whose parities are compared pair by pair.
+PARITY_TILES = 64
+#: Counters of the frequency sketch, as powers of two: as many as the input asks for, within these.
+LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 18, 26
+#: Rows of the sketch that one task adds up.
+SKETCH_FAN = 64
 _OTHER = np.uint64(0x5851F42D4C957F2D)
+#: What rounding may add to a distance.
+EPSILON = 1e-9
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -107,39 +118,65 @@ def _counter(shingles: np.ndarray, bits: int) -> np.ndarray:
     return (shingles >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def frequency_levels(docs: DataFrame, width: int, bits: int = SKETCH_BITS) -> np.ndarray:
+def sketch_bits(docs: DataFrame) -> int:
+    """Counters for an input of this size: about one for 32 bytes of its files, within fixed bounds.
+
+    With more shingles than counters, a counter tells those apart that occur more often than its average load.
+    """
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > 1 << 60:  # what is not in files has no known size
+        size = 1 << 28
+    return max(LEAST_SKETCH_BITS, min(MOST_SKETCH_BITS, size.bit_length() - 5))
+
+
+def frequency_levels(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     """Half octaves of how many documents have the shingles of each counter, over all documents.
 
-    A fixed number of counters, a byte each for the driver and every task
-    (16 MB) whatever the corpus. They only order shingles; any order is exact.
+    A byte for each counter for the driver and every task (64 MB at most). They
+    only order shingles; any order is exact. Parts are added up as a tree, so no
+    task holds more than ``SKETCH_FAN`` rows of a part, however many tasks there are.
     """
     chunk = 1 << max(bits - 6, 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         shingler, counts = Shingler(width), np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for text in batch.column("text"):
                 np.add.at(counts, _counter(shingler.of(text.as_py()), bits), 1)
-        parts = [pack(counts[a : a + chunk]) for a in range(0, len(counts), chunk)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+        lane = TaskContext.get().partitionId()
+        for k, a in enumerate(range(0, len(counts), chunk)):
+            some = counts[a : a + chunk].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lane], pa.int64()), pa.array([pack(some)], pa.binary())], names=["part", "lane", "counts"])
 
-    def add(part: pa.Table) -> pa.Table:
-        total = np.zeros(chunk, np.int64)
+    def total(part: pa.Table) -> np.ndarray:
+        out = np.zeros(chunk, np.uint64)
         for counts in part.column("counts"):
-            total += unpack(counts.as_py(), np.uint32)
-        level = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
-        return pa.table({"part": part.column("part")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
+            out += unpack(counts.as_py(), np.uint64)
+        return out
+
+    def add(part: pa.Table) -> pa.Table:
+        return pa.table({"part": part.column("part")[:1], "lane": part.column("lane")[:1], "counts": pa.array([pack(total(part))], pa.binary())})
+
+    def level(part: pa.Table) -> pa.Table:
+        octaves = np.floor(2 * np.log2(np.maximum(total(part), 1))).astype(np.uint8)
+        return pa.table({"part": part.column("part")[:1], "levels": pa.array([octaves.tobytes()], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, levels binary").collect()
+    lanes = docs.rdd.getNumPartitions()
+    parts = docs.select("text").mapInArrow(count, "part int, lane long, counts binary")
+    while lanes > SKETCH_FAN:
+        lanes = -(-lanes // SKETCH_FAN)
+        parts = parts.withColumn("lane", F.pmod("lane", F.lit(lanes))).groupBy("part", "lane").applyInArrow(add, "part int, lane long, counts binary")
     levels = np.zeros(1 << bits, np.uint8)
-    for r in rows:
+    for r in parts.groupBy("part").applyInArrow(level, "part int, levels binary").collect():
         levels[r["part"] * chunk : (r["part"] + 1) * chunk] = np.frombuffer(r["levels"], np.uint8)
     return levels
 
 
 def shingle_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """uid, doc_id, text_hash, n_shingles, fp1, fp2 (of the set) and its prefix, a row for each document."""
-    levels, tops = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, width)), size_classes()
+    levels, tops = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, width, sketch_bits(docs))), size_classes()
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,45 +236,61 @@ class Region:
 
     def join(self, members: np.ndarray) -> None:
         """Link all pairs of ``members`` that are within the radius, but for pairs already connected."""
-        pending = [members]
+        nobody = members[:0]
+        pending = [(members, nobody)]
         while pending:
-            group = pending.pop()
-            if len({self.find(m) for m in group.tolist()}) < 2:
+            inner, window = pending.pop()
+            everyone = np.concatenate([inner, window])
+            if not len(inner) or len({self.find(m) for m in everyone.tolist()}) < 2:
                 continue
-            if len(group) <= LEAF:
-                self.compare_all(group)
+            if len(everyone) <= LEAF:
+                self.compare(inner, window)
                 continue
-            # a pivot's ball, the Voronoi-like shells beyond, each with its boundary of one radius
-            pivot = int(group[0])
-            distance, near = self.from_pivot(pivot, group)
-            for m in group[near].tolist():
-                self.link(pivot, m)
-            inner = group[near]
-            outer, far = group[~near], distance[~near]
-            if not len(outer):
-                continue
-            # a radius is the least distance between the inside of a shell and what lies beyond its boundary
-            middle = float(np.median(far))
-            low = outer[far <= middle]
-            high = outer[far >= middle - self.radius - 1e-9]
-            edge = inner[distance[near] >= far.min() - self.radius - 1e-9]
-            low_edge = np.concatenate([low, edge])
-            if len(low_edge) < len(group) and len(high) < len(group) and len(high) < len(outer):
-                beyond = edge[np.isin(edge, inner[distance[near] >= middle - self.radius - 1e-9])]
-                pending += [low_edge, np.concatenate([high, beyond])]
-            else:
-                self.compare_all(group)
-
-    def compare_all(self, group: np.ndarray) -> None:
-        """Each with each of those it isn't connected to yet."""
-        for k in range(1, len(group)):
-            mine = self.find(int(group[k]))
-            rest = np.array([m for m in group[:k].tolist() if self.find(m) != mine], np.int64)
-            size, n = self.size[rest], self.size[group[k]]
-            rest = rest[(100 * np.minimum(size, n) >= self.percent * np.maximum(size, n))] if len(rest) else rest
-            _, near = self.from_pivot(int(group[k]), rest)
+            distance = self.to_pivots(inner, everyone)
+            nearest = distance.argmin(0)
+            least = distance[nearest, np.arange(len(everyone))]
+            for cell in range(len(distance)):
+                mine = nearest[: len(inner)] == cell
+                if not mine.any():
+                    continue
+                # a partner of someone here is at most two radii farther from this pivot than from its own, and one beyond the cell's reach
+                reach = distance[cell, : len(inner)][mine].max()
+                near = (distance[cell] <= least + 2 * self.radius + EPSILON) & (distance[cell] <= reach + self.radius + EPSILON)
+                # of two cells the first compares the members of both
+                near[: len(inner)] &= nearest[: len(inner)] > cell
+                part = (inner[mine], everyone[near])
+                if len(part[0]) + len(part[1]) <= LEAST_SHRINK * len(everyone):
+                    pending.append(part)
+                else:
+                    self.compare(*part)
+
+    def to_pivots(self, inner: np.ndarray, everyone: np.ndarray) -> np.ndarray:
+        """Distances of all to pivots of ``inner``, each as far as can be from those before; who is within the radius is linked."""
+        rows, least, pivot = [], np.full(len(inner), 2.0), 0
+        for _ in range(PIVOTS):
+            distance, near = self.from_pivot(int(inner[pivot]), everyone)
+            for m in everyone[near].tolist():
+                self.link(int(inner[pivot]), m)
+            rows.append(distance)
+            least = np.minimum(least, distance[: len(inner)])
+            pivot = int(least.argmax())
+            if least[pivot] <= EPSILON:
+                break
+        return np.stack(rows)
+
+    def compare(self, inner: np.ndarray, window: np.ndarray) -> None:
+        """Each of ``inner`` with all others that it isn't connected to yet."""
+        everyone = np.concatenate([window, inner])
+        for k in range(len(inner)):
+            me = int(inner[k])
+            mine = self.find(me)
+            before = everyone[: len(window) + k]
+            size, n = self.size[before], self.size[me]
+            before = before[100 * np.minimum(size, n) >= self.percent * np.maximum(size, n)]
+            rest = np.array([m for m in before.tolist() if self.find(m) != mine], np.int64)
+            _, near = self.from_pivot(me, rest)
             for m in rest[near].tolist():
-                self.link(int(group[k]), m)
+                self.link(me, m)
 
 
 def link_table(uids: list[int], links: list[tuple[int, int]]) -> pa.Table:
@@ -248,26 +301,35 @@ def link_table(uids: list[int], links: list[tuple[int, int]]) -> pa.Table:
 def without_far(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """``members`` (pivot, uid) without those whose parities show that they link with no one in their region.
 
-    Larger regions than a task holds are left as they are.
+    The members of a larger region than a task holds are dealt into tiles that
+    meet pair by pair; regions of over ``PARITY_TILES`` tiles are left as they are.
     """
     counted = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
-    sized = members.join(counted, "pivot")
-    small = sized.where(F.col("size") <= TILE).join(rows.select("uid", "n_shingles", "parity"), "uid").select("pivot", "uid", "n_shingles", "parity")
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    sized = members.join(counted, "pivot").withColumn("tiles", tiles)
+    facts = rows.select("uid", "n_shingles", "parity")
 
     def prune(region: pa.Table) -> pa.Table:
         region = region.sort_by("uid")
         keep = may_link(region.column("n_shingles").to_numpy(), region.column("parity").to_pylist(), percent)
         return region.select(["pivot", "uid"]).filter(pa.array(keep))
 
-    kept = small.groupBy("pivot").applyInArrow(prune, "pivot long, uid long")
-    return kept.unionAll(sized.where(F.col("size") > TILE).select("pivot", "uid"))
+    kept = sized.where("tiles = 1").join(facts, "uid").groupBy("pivot").applyInArrow(prune, "pivot long, uid long")
+    dealt = sized.where((F.col("tiles") > 1) & (F.col("tiles") <= PARITY_TILES)).join(facts, "uid")
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = met.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    near = met.groupBy("pivot", "low", "high").applyInArrow(prune, "pivot long, uid long").distinct()
+    return kept.unionAll(near).unionAll(sized.where(F.col("tiles") > PARITY_TILES).select("pivot", "uid"))
 
 
 def region_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect all pairs within the radius in the regions ``members`` (pivot, uid)."""
-    counted = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
-    sized = materialise(members.join(counted, "pivot"), "regions")
-    small = sized.where(F.col("size") <= TILE).join(sets, "uid").select("pivot", "uid", "shingles")
+    """Edges (a, b) that connect all pairs within the radius in the regions ``members`` (pivot, uid).
+
+    Regions of up to ``TILE`` members are joined in a task. Larger ones are
+    divided into the Voronoi cells of their pivots, which are regions in turn;
+    where cells stay as large as their region, its tiles are compared.
+    """
 
     def join_region(region: pa.Table) -> pa.Table:
         rows = sorted(dict(zip(region.column("uid").to_pylist(), region.column("shingles").to_pylist())).items())
@@ -276,14 +338,69 @@ def region_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         r.join(np.arange(len(rows)))
         return link_table(uids, r.links)
 
-    links = small.groupBy("pivot").applyInArrow(join_region, "a long, b long")
-    if not sized.where(F.col("size") > TILE).limit(1).count():
-        return links
-    return links.unionAll(large_region_links(sized.where(F.col("size") > TILE), sets, percent))
+    found = []
+    regions = members.select(F.col("pivot").alias("region"), "uid")
+    for depth in range(DEPTH + 1):
+        counted = regions.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("uid").alias("pivot"))
+        sized = materialise(regions.join(counted, "region"), "regions")
+        small = sized.where(F.col("size") <= TILE).join(sets, "uid").select("region", "uid", "shingles")
+        found.append(small.groupBy("region").applyInArrow(join_region, "a long, b long"))
+        large = sized.where(F.col("size") > TILE)
+        if large.isEmpty():
+            break
+        if depth == DEPTH:
+            found.append(large_region_links(large, sets, percent))
+            break
+        cells = materialise(voronoi_cells(large, sets, percent), "cells")
+        found.append(cells.where("linked").select(F.col("pivot").alias("a"), F.col("uid").alias("b")))
+        counted = cells.where("NOT linked").groupBy("region", "pivot").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+        stuck = counted.where((F.col("n") > TILE) & (F.col("n") > F.col("size") * LEAST_SHRINK)).select("region").distinct()
+        stuck = materialise(stuck, "stuck")
+        if not stuck.isEmpty():
+            found.append(large_region_links(large.join(stuck, "region", "left_semi"), sets, percent))
+        inside = cells.where("NOT linked").join(stuck, "region", "left_anti")
+        regions = inside.select(F.xxhash64("region", "pivot").alias("region"), "uid")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def voronoi_cells(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """region, size, pivot, uid, linked: the members of each Voronoi cell with its replicated boundary, and who is within the radius of a pivot.
+
+    Input: region, pivot, uid, size. About ``PIVOTS`` members of a region, by
+    hash, are its pivots, and always the one it has. They go to each of the
+    tasks that a region's members are dealt over.
+    """
+    every = F.ceil(F.col("size") / (PIVOTS - 1))
+    dealt = regions.withColumn("chunks", F.ceil(F.col("size") / TILE).cast("int"))
+    picked = dealt.where((F.col("uid") == F.col("pivot")) | (F.pmod(F.xxhash64("region", "uid"), every) == 0))
+    picked = picked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    names = ["region", "size", "chunk", "uid", "is_pivot"]
+    both = dealt.withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int")).withColumn("is_pivot", F.lit(False)).select(*names)
+    both = both.unionAll(picked.withColumn("is_pivot", F.lit(True)).select(*names)).join(sets, "uid")
+
+    def assign(chunk: pa.Table) -> pa.Table:
+        rows = sorted(set(zip(chunk.column("is_pivot").to_pylist(), chunk.column("uid").to_pylist(), chunk.column("shingles").to_pylist())))
+        members = [r for r in rows if not r[0]]
+        pivots = rows[len(members) :]
+        r = Region([np.frombuffer(s, np.uint64) for _, _, s in members + pivots], percent)
+        measured = [r.from_pivot(len(members) + k, np.arange(len(members))) for k in range(len(pivots))]
+        distance, near = np.stack([d for d, _ in measured]), np.stack([n for _, n in measured])
+        cell = distance <= distance.min(0) + 2 * r.radius + EPSILON
+        out = [(int(p), int(m), linked) for linked, table in ((False, cell), (True, near)) for p, m in zip(*np.nonzero(table))]
+        return pa.table({
+            "region": pa.array([chunk.column("region")[0].as_py()] * len(out), pa.int64()), "size": pa.array([chunk.column("size")[0].as_py()] * len(out), pa.int64()),
+            "pivot": pa.array([pivots[p][1] for p, _, _ in out], pa.int64()), "uid": pa.array([members[m][1] for _, m, _ in out], pa.int64()),
+            "linked": pa.array([x for _, _, x in out], pa.bool_()),
+        })
+
+    return both.groupBy("region", "chunk").applyInArrow(assign, "region long, size long, pivot long, uid long, linked boolean")
 
 
 def large_region_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The same for regions of more members than one task holds.
+    """The same for regions (region, pivot, uid) that pivots do not divide.
 
     Shells of half a radius around the pivot are dealt into tiles; tiles meet if
     a pair of their shells may be within the radius of each other. Members
@@ -299,28 +416,28 @@ def large_region_links(members: DataFrame, sets: DataFrame, percent: int) -> Dat
                 r = Region([np.frombuffer(other.as_py(), np.uint64), np.frombuffer(mine.as_py(), np.uint64)], percent)
                 d, near = r.from_pivot(0, np.array([1]))
                 shell.append(min(int(d[0] / half), radius_cell) if near[0] else max(int(d[0] / half), radius_cell + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("uid"), pa.array(shell, pa.int32())], names=["pivot", "uid", "shell"])
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("pivot"), batch.column("uid"), pa.array(shell, pa.int32())], names=["region", "pivot", "uid", "shell"])
 
     pivots = sets.select(F.col("uid").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
-    with_sets = members.select("pivot", "uid").join(sets, "uid").join(pivots, "pivot")
-    shells = materialise(with_sets.mapInArrow(measure, "pivot long, uid long, shell int").distinct(), "shells")
+    with_sets = members.select("region", "pivot", "uid").join(sets, "uid").join(pivots, "pivot")
+    shells = materialise(with_sets.mapInArrow(measure, "region long, pivot long, uid long, shell int").distinct(), "shells")
     inner = shells.where(F.col("shell") <= radius_cell).select(F.col("pivot").alias("a"), F.col("uid").alias("b"))
-    counts = shells.groupBy("pivot", "shell").agg(F.count(F.lit(1)).alias("rows"))
-    tiles = counts.select("pivot", "shell", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
-    tiled = shells.join(tiles, ["pivot", "shell"]).withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
-    each = tiles.select("pivot", "shell", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-    other = each.select("pivot", F.col("shell").alias("shell2"), F.col("tile").alias("tile2"))
+    counts = shells.groupBy("region", "shell").agg(F.count(F.lit(1)).alias("rows"))
+    tiles = counts.select("region", "shell", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
+    tiled = shells.join(tiles, ["region", "shell"]).withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
+    each = tiles.select("region", "shell", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    other = each.select("region", F.col("shell").alias("shell2"), F.col("tile").alias("tile2"))
     # shells i < j are at least (j - i - 1) half radii apart
-    meet = each.join(other, "pivot").where(
+    meet = each.join(other, "region").where(
         (F.struct("shell", "tile") <= F.struct("shell2", "tile2")) & (F.col("shell2") - F.col("shell") <= 3) & (F.col("shell2") > radius_cell)
     )
-    meet = meet.withColumn("pair", F.xxhash64("pivot", "shell", "tile", "shell2", "tile2"))
-    sides = meet.select("pivot", "shell", "tile", "pair").unionAll(
+    meet = meet.withColumn("pair", F.xxhash64("region", "shell", "tile", "shell2", "tile2"))
+    sides = meet.select("region", "shell", "tile", "pair").unionAll(
         meet.where((F.col("shell") != F.col("shell2")) | (F.col("tile") != F.col("tile2"))).select(
-            "pivot", F.col("shell2").alias("shell"), F.col("tile2").alias("tile"), "pair"
+            "region", F.col("shell2").alias("shell"), F.col("tile2").alias("tile"), "pair"
         )
     )
-    rows = tiled.join(sides, ["pivot", "shell", "tile"]).join(sets, "uid").select("pair", "uid", "shell", "shingles")
+    rows = tiled.join(sides, ["region", "shell", "tile"]).join(sets, "uid").select("pair", "uid", "shell", "shingles")
 
     def join_tiles(pair: pa.Table) -> pa.Table:
         found = sorted(set(zip(pair.column("uid").to_pylist(), pair.column("shell").to_pylist(), pair.column("shingles").to_pylist())))
@@ -379,20 +496,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
             yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(made, pa.binary())], names=["uid", "shingles"])
 
     hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    # a bitmap of fixed size spares most other texts the shuffle; what it lets through wrongly, the join drops
-    bit = needed.select(F.pmod(F.xxhash64("_hash"), F.lit(1 << FILTER_BITS)).alias("bit"))
-    words = bit.groupBy(F.expr("CAST(bit DIV 64 AS INT)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("bits"))
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.collect():
-        bitmap[r["word"]] = r["bits"]
-    shared_bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def may_be_needed(bits: pd.Series) -> pd.Series:
-        b = bits.to_numpy()
-        return pd.Series((shared_bitmap.value[b >> 6] >> (b & 63)) & 1 == 1)
-
-    hashed = hashed.where(may_be_needed(F.pmod(F.xxhash64("text_hash"), F.lit(1 << FILTER_BITS))))
+    hashed = hashed.where(bitmap_of(needed, "_hash")("text_hash"))
     texts = hashed.join(needed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     # repeated rows give a set more than once; tasks key sets by uid
     sets = texts.select("uid", "text").mapInArrow(make_sets, "uid long, shingles binary")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,52 @@ def test_region_recursion_is_exact():
     assert [region.find(k) for k in range(len(sets))] == [find(k) for k in range(len(sets))]
 
 
+@pytest.mark.parametrize("n, tile, spread", [(10_000, 256, 12), (1_500, 32, 3)])
+def test_large_region(spark, monkeypatch, n, tile, spread):
+    """A region of many members, one of its clusters hot: all linked pairs are connected, whatever parities, cells and tiles do."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rng = np.random.default_rng(n)
+    bases = [np.unique(rng.integers(0, 1 << 60, 40).astype(np.uint64)) for _ in range(n // 20)]
+    sets = []
+    for k in range(n):
+        s = bases[0 if k % 5 == 0 else k % len(bases)].copy()
+        s[rng.integers(0, len(s), rng.integers(0, spread))] = rng.integers(0, 1 << 60, 1)
+        sets.append(np.unique(s))
+    rows = [(k, len(s), s.tobytes(), jaccard.parity_bits(s)) for k, s in enumerate(sets)]
+    frame = spark.createDataFrame(pd.DataFrame(rows, columns=["uid", "n_shingles", "shingles", "parity"])).repartition(8)
+    members = frame.selectExpr("-7L AS pivot", "uid")
+    near = jaccard.materialise(jaccard.without_far(members, frame, 90), "near")
+    links = jaccard.region_links(near, frame.select("uid", "shingles"), 90).collect()
+
+    def roots(pairs):
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for x, y in pairs:
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+        return [find(k) for k in range(n)]
+
+    by_base = collections.defaultdict(list)
+    for k in range(n):
+        by_base[0 if k % 5 == 0 else k % len(bases)].append(k)
+    want = []
+    for same in by_base.values():  # sets of different bases share nothing
+        universe = np.unique(np.concatenate([sets[k] for k in same]))
+        table = np.zeros((len(same), len(universe)), np.float32)
+        for row, k in enumerate(same):
+            table[row, np.searchsorted(universe, sets[k])] = 1
+        both = table @ table.T
+        size = table.sum(1)
+        want += [(same[x], same[y]) for x, y in zip(*np.nonzero(100 * both >= 90 * (size[:, None] + size[None, :] - both))) if x < y]
+    assert roots((r.a, r.b) for r in links) == roots(want)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))
