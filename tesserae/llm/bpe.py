@@ -4,7 +4,7 @@ A short word is a row of two flat arrays: its parts (in order, so the boundaries
 are the positions) and the merge rank of every adjacent pair. Encoding
 repeatedly scans the ranks for the minimum, deletes that boundary and refreshes
 the two neighbouring ranks; the new words of a batch take these steps together,
-a row each. Long words use the same rule on a heap, so that a word of n bytes
+a row each, and few words one after the other. Long words use the same rule on a heap, so that a word of n bytes
 costs n log n.
 """
 
@@ -33,7 +33,7 @@ CACHE_WORDS = 300_000
 NO_RANK = 1 << 30
 #: Rows and width of one array of short words, and the widths they are sorted into.
 ROWS, WIDTHS = 20_000, (8, 12, 16, 24, 40, SHORT)
-#: Fewer words than this are not worth an array.
+#: Fewer words than this are scanned one by one, not in arrays of many.
 FEW = 40
 #: Characters of text whose new words are encoded together.
 LEARN_CHARS = 4_000_000
@@ -119,6 +119,19 @@ class RankBpe:
             here = np.flatnonzero(at > 0)
             ranks[here, at[here] - 1] = self.ranks_of(parts[here, at[here] - 1].astype(np.int64) << 17 | parts[here, at[here]])
 
+    def merge_scan(self, parts: list[int]) -> list[int]:
+        """The same steps for one short word: two flat lists, its parts and the ranks between them."""
+        rank = self.rank.get
+        ranks = [rank(pair, NO_RANK) for pair in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) != NO_RANK:
+            at = ranks.index(least)
+            parts[at : at + 2] = [self.merged[least]]
+            del ranks[at]
+            for k in (at - 1, at):
+                if 0 <= k < len(ranks):
+                    ranks[k] = rank((parts[k], parts[k + 1]), NO_RANK)
+        return parts
+
     def merge_long(self, parts: list[int]) -> list[int]:
         n, rank = len(parts), self.rank.get
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
@@ -169,7 +182,10 @@ class RankBpe:
         words = self.split.findall(text)
         if len(words) >= FEW:
             return b"".join(self.merge_words(words))
-        ids = [p for w in words for p in self.merge_long([self.byte_id[b] for b in w.encode()])]
+        ids = []
+        for raw in map(str.encode, words):
+            parts = [self.byte_id[b] for b in raw]
+            ids += self.merge_scan(parts) if len(raw) <= SHORT else self.merge_long(parts)
         return b"".join([p.to_bytes(4, "little") for p in ids])
 
     def encode_unit(self, unit: str) -> bytes:
