@@ -514,22 +514,23 @@ def drop_near(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Da
     """One row of each group: the one with the smallest doc_id, null being the largest; documents without words all stay.
 
     Groups are classes of linked texts, whatever their ids: rows of one id or
-    of none are told apart by their texts, and of repeated rows one stays.
+    of none are told apart by their texts, and of repeated rows one stays. All
+    columns are kept, whatever their names; an empty table gives no rows.
     """
     rows, classes = _classes(docs, width, percent)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid", "text_hash")).alias("least")
     of_set = rows.where("n_shingles > 0").groupBy(*KEY).agg(least)
     keep = of_set.join(classes, [*KEY]).groupBy("class").agg(F.min("least").alias("least"))
     id_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    keep = keep.select(F.col("least.unnamed").alias("_unnamed"), id_text("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_text_hash"))
+    keep = keep.select(F.col("least.unnamed").alias("unnamed"), id_text("least.doc_id").alias("id"), F.col("least.text_hash").alias("text_hash"))
     with_words = F.coalesce(F.col("text").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
     hashed = docs.where(with_words).select(
-        "*", F.col("doc_id").isNull().alias("_unnamed"), id_text("doc_id").alias("_id"), F.xxhash64("text").alias("_text_hash")
+        F.struct("*").alias("row"), F.col("doc_id").isNull().alias("unnamed"), id_text("doc_id").alias("id"), F.xxhash64("text").alias("text_hash")
     )
-    names = ["_unnamed", "_id", "_text_hash"]
-    one = F.row_number().over(Window.partitionBy(*names).orderBy(*names)).alias("_copy")
-    kept = hashed.join(keep, names, "left_semi").select("*", one).where("_copy = 1")
-    return kept.select(*docs.columns).unionAll(docs.where(~with_words))
+    names = ["unnamed", "id", "text_hash"]
+    one = F.row_number().over(Window.partitionBy(*names).orderBy(*names)).alias("place")
+    kept = hashed.join(keep, names, "left_semi").select("row", one).where("place = 1")
+    return kept.select("row.*").unionAll(docs.where(~with_words))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

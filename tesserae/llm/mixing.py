@@ -36,6 +36,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
     excess by weight until none is above ends at one common level: a source
     gets min(cap, weight * level). In the order of cap / weight the level is
     what is left of the total after the caps before, per weight that is left.
+
+    The order needs all sources side by side: one task sorts a row of some 50
+    bytes for each of them, ten million sources in half a gigabyte.
     """
     order = Window.orderBy(F.col("source").isNull(), "source")
     cap = F.lit(float(max_epochs)) * F.col("source_size")
@@ -109,31 +112,35 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epo
 
     Columns are those of ``docs`` (doc_id, text, source and any others); a cut
     text ends with its last taken word, and n_chars, if there, is its length.
-    Documents of which nothing is taken go.
+    Documents of which nothing is taken go, null and empty texts among them.
+    Columns of any name are kept; an empty table gives no rows.
     """
-    names = docs.columns
     plan = mix_plan(docs, weights, max_epochs, seed).where("taken > 0")
     plan = plan.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), F.col("copy").alias("_copy"),
-        F.col("size").alias("_size"), F.col("taken").alias("_taken"),
+        F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_source"), F.col("text_hash").alias("plan_hash"),
+        F.col("copy").alias("plan_copy"), "size", "taken",
     )
-    hashed = docs.select("*", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_h"))
+    names = docs.columns
+    text = F.col("row")["text"]
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash")
+    )
     # rows that agree in doc_id, source and text are numbered alike on both sides, so that they meet one to one
-    same = Window.partitionBy("doc_id", "source", "_h").orderBy(*[F.col(c).cast("string") for c in names if c not in ("doc_id", "source", "text")] or [F.lit(0)])
-    hashed = hashed.withColumn("_c", F.row_number().over(same))
-    joined = hashed.join(
+    others = [F.col("row")[c].cast("string") for c in names if c not in ("doc_id", "source", "text")] or [F.lit(0)]
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "from", "hash").orderBy(*others)))
+    joined = rows.join(
         plan,
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_h") == F.col("_hash")) & (F.col("_c") == F.col("_copy")),
+        F.col("id").eqNullSafe(F.col("plan_id")) & F.col("from").eqNullSafe(F.col("plan_source"))
+        & (F.col("hash") == F.col("plan_hash")) & (F.col("copy") == F.col("plan_copy")),
     )
-    whole, cut = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
-    pieces = F.concat(F.array_repeat(F.col("_size").cast("int"), whole), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))
-    rows = joined.withColumn("_words", F.explode(pieces))
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(_first_words(F.col("text"), F.col("_words")))
-    out = {c: F.col(c) for c in names} | {"text": text}
+    whole, cut = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    pieces = F.concat(F.array_repeat(F.col("size").cast("int"), whole), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))
+    joined = joined.select("row", "size", F.explode(pieces).alias("words"))
+    text = F.when(F.col("words") == F.col("size"), text).otherwise(_first_words(text, F.col("words")))
+    out = {c: F.col("row")[c] for c in names} | {"text": text}
     if "n_chars" in names:
         out["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[col.alias(c) for c, col in out.items()])
+    return joined.select(*[col.alias(c) for c, col in out.items()])
 
 
 def _first_words(text: Column, n: Column) -> Column:
