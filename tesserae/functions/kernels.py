@@ -59,23 +59,24 @@ def flood_background(lab: np.ndarray, tolerance: float = 28.0) -> np.ndarray:
     return np.ones((h, w), bool) if share < 0.02 or share > 0.98 else ~reached
 
 
-def kmeans(points: np.ndarray, k: int, seed: int = 0, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
-    """Lloyd's algorithm from k-means++ seeds; (centres, labels). Empty clusters restart at a random point."""
+def kmeans(points: np.ndarray, k: int, seed: int = 0, rounds: int = 15, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Lloyd's algorithm from k-means++ seeds over weighted points; (centres, labels). Empty clusters restart at a random point."""
     rng = np.random.default_rng(seed)
     k = min(k, len(points))
-    centres = [points[rng.integers(len(points))]]
+    weights = np.ones(len(points)) if weights is None else weights
+    pick = lambda p: points[rng.choice(len(points), p=p / p.sum())]
+    centres = [pick(weights)]
     distance = np.full(len(points), np.inf)
     while len(centres) < k:
         distance = np.minimum(distance, ((points - centres[-1]) ** 2).sum(1))
-        total = distance.sum()
-        centres.append(points[rng.choice(len(points), p=distance / total) if total > 0 else rng.integers(len(points))])
+        centres.append(pick(distance * weights if (distance * weights).sum() > 0 else weights))
     c = np.array(centres, float)
     labels = np.zeros(len(points), int)
     for _ in range(rounds):
         labels = ((points[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
         for j in range(k):
-            mine = points[labels == j]
-            c[j] = mine.mean(0) if len(mine) else points[rng.integers(len(points))]
+            mine = labels == j
+            c[j] = np.average(points[mine], axis=0, weights=weights[mine]) if mine.any() else pick(weights)
     return c, ((points[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
 
 
@@ -107,7 +108,10 @@ def potts_relax(labels: np.ndarray, cost: np.ndarray, edge: np.ndarray, weight:
 
 
 def merge_small(labels: np.ndarray, least: int) -> np.ndarray:
-    """Components below ``least`` pixels join the label most frequent around them, labels in rising order."""
+    """Components below ``least`` pixels join the label most frequent around them, labels in rising order.
+
+    One with no labelled neighbour joins the most frequent label of the image, the smallest of equals.
+    """
     out = labels.copy()
     h, w = out.shape
     for label in sorted(set(out[out >= 0].tolist())):
@@ -122,8 +126,8 @@ def merge_small(labels: np.ndarray, least: int) -> np.ndarray:
                     a, b = y + dy, x + dx
                     if 0 <= a < h and 0 <= b < w and out[a, b] >= 0 and out[a, b] != label:
                         votes[int(out[a, b])] = votes.get(int(out[a, b]), 0) + 1
-            if votes:
-                out[here] = max(votes, key=lambda v: votes[v])
+            everywhere = np.bincount(out[out >= 0])
+            out[here] = max(votes, key=lambda v: votes[v]) if votes else int(everywhere.argmax())
     return out
 
 

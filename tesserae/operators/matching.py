@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, written
+
 
 def nearest_points(a: DataFrame, b: DataFrame, by: str, cell: float) -> DataFrame:
     """by, id, d: distance from every point of ``a`` (by, id, x, y) to the nearest of ``b`` within its set.
 
-    Points are hashed to a grid and looked for in rings of cells of doubling
-    width, so that no set is crossed with itself: a round joins by cell, and
-    only points with nothing near go on to the next.
+    Points are hashed to a grid and looked for in rings of cells of growing
+    width, so that no set is crossed with itself: a round joins by cell, is
+    written once, and only points with nothing near go on to the next.
     """
     import math
 
-    todo, out = a.select(by, "id", "x", "y"), None
+    todo, out = written(a.select(by, "id", "x", "y"), "points"), None
     extent = a.agg(F.max(F.abs("x")), F.max(F.abs("y"))).first()
     other = b.agg(F.max(F.abs("x")), F.max(F.abs("y"))).first()
     reach = 2 * max([v for v in (*extent, *other) if v is not None], default=0.0) * math.sqrt(2) + cell
@@ -30,19 +32,28 @@ def nearest_points(a: DataFrame, b: DataFrame, by: str, cell: float) -> DataFram
         d = F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by_"))
         found = cells.join(far, [by, "i", "j"]).groupBy(by, "id").agg(F.min(d).alias("d"))
         # within one cell width nothing nearer can lie outside the ring
-        sure = found if last else found.where(F.col("d") <= size)
+        sure = written(found if last else found.where(F.col("d") <= size), "near")
         out = sure if out is None else out.unionAll(sure)
-        if last:
+        before, todo = todo, written(todo.join(sure.select(by, "id"), [by, "id"], "left_anti"), "points")
+        discard(before)
+        if last or todo.isEmpty():
+            discard(todo)
             return out
-        todo = todo.join(sure.select(by, "id"), [by, "id"], "left_anti")
         size *= 4
 
 
+#: Distance from which the robust form of the Chamfer distance grows in a line.
+HUBER = 8.0
+
+
 def chamfer(a: DataFrame, b: DataFrame, by: str, cell: float, mode: str = "mean") -> DataFrame:
-    """by, chamfer: half the sum (``mean``) or the sum (``sum``) of both sides' mean nearest distances."""
-    scale = {"mean": 0.5, "sum": 1.0}[mode]
-    one = nearest_points(a, b, by, cell).groupBy(by).agg(F.avg("d").alias("ab"))
-    two = nearest_points(b, a, by, cell).groupBy(by).agg(F.avg("d").alias("ba"))
+    """by, chamfer: half the sum (``mean``) or the sum (``sum``) of both sides' mean nearest distances; ``huber``: the sum of their Huber losses."""
+    scale = {"mean": 0.5, "sum": 1.0, "huber": 1.0}[mode]
+    d = F.col("d")
+    if mode == "huber":
+        d = F.when(d < HUBER, 0.5 * d * d / HUBER).otherwise(d - 0.5 * HUBER)
+    one = nearest_points(a, b, by, cell).groupBy(by).agg(F.avg(d).alias("ab"))
+    two = nearest_points(b, a, by, cell).groupBy(by).agg(F.avg(d).alias("ba"))
     return one.join(two, by).select(by, (scale * (F.col("ab") + F.col("ba"))).alias("chamfer"))
 
 
@@ -72,6 +83,29 @@ def recall_score(d: Column, circ_gap: Column, elong_a: Column, elong_b: Column)
     return F.exp(-d) + F.exp(-0.35 * F.abs(circ_gap)) + F.exp(-0.25 * F.abs(F.ln(elong_a) - F.ln(elong_b)))
 
 
+def adjusted_recall(
+    score: Column, complexity: Column, area_frac: Column, holes: Column, tagged: Column, region_simplicity: Column, region_area: Column, wants_holes: Column
+) -> Column:
+    """A recall score with what a region asks for beyond its outline.
+
+    Fixed values: 1.35 for a wanted tag; 1.25 or .75 for a stamp with holes where the region wants holes or wants none
+    (null: either); exp(-2.2 simplicity complexity); for simple regions (over .55) of some size (over .04) exp(-|fill - .75| simplicity).
+    """
+    hollow = holes > 0
+    out = score * F.when(tagged, 1.35).otherwise(1.0)
+    out = out * F.when(wants_holes & hollow, 1.25).when(~wants_holes & hollow, 0.75).otherwise(1.0)
+    out = out * F.exp(-2.2 * region_simplicity * complexity)
+    plain = (region_simplicity > 0.55) & (region_area > 0.04)
+    return out * F.when(plain, F.exp(-F.abs(area_frac - 0.75) * region_simplicity)).otherwise(1.0)
+
+
+def plain_stamp_score(circ: Column, elong: Column, stamp_circ: Column, stamp_elong: Column, complexity: Column, area_frac: Column, holes: Column) -> Column:
+    """How well a stamp of low complexity stands in for a region of this circularity and elongation."""
+    one = lambda c: F.greatest(c, F.lit(1.0))
+    stretch = F.abs(F.ln(one(stamp_elong) + 1e-6) - F.ln(one(elong) + 1e-6))
+    return F.exp(-2.0 * F.abs(stamp_circ - circ)) + F.exp(-1.5 * stretch) + F.exp(-3.0 * complexity) + 0.5 * area_frac + F.when(holes == 0, 0.4).otherwise(0.0)
+
+
 def top_k(scored: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame:
     """The k best of each group with their rank, the smallest ``tie`` first among equals."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), tie))

@@ -137,6 +137,37 @@ def central_difference(pixels: DataFrame, value: str, out_x: str, out_y: str) ->
     return pixels.withColumn(out_x, dx).withColumn(out_y, dy)
 
 
+def affine_sample(pixels: DataFrame, value: str, height: int, width: int, centre: tuple[float, float], texture_centre: tuple[float, float], scale: float, angle: float) -> DataFrame:
+    """image_id, y, x, value: each canvas pixel looked up in a texture that is scaled and turned clockwise about its centre.
+
+    The inverse map of a pixel is a constant expression; its four neighbours
+    are joined by place and weighted bilinearly, 0 beyond the texture. These
+    are four rows for each canvas pixel, whatever the number of images, and are
+    broadcast.
+    Centres are (x, y); pixels that see nothing of the texture have no row.
+    """
+    import math
+
+    spark = pixels.sparkSession
+    c, s = math.cos(math.radians(angle)) / scale, math.sin(math.radians(angle)) / scale
+    dx, dy = F.col("x") - centre[0], F.col("y") - centre[1]
+    grid = spark.range(height * width).select((F.col("id") / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))
+    grid = grid.withColumn("u", dx * c + dy * s + texture_centre[0]).withColumn("v", dy * c - dx * s + texture_centre[1])
+    fx, fy = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
+    corners = F.array(*[
+        F.struct((F.floor("u") + i).cast("int").alias("tx"), (F.floor("v") + j).cast("int").alias("ty"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w")) for j in (0, 1) for i in (0, 1)
+    ])
+    taps = grid.select("y", "x", F.explode(corners).alias("t")).select("y", "x", "t.tx", "t.ty", "t.w").where("w > 0")
+    texture = pixels.select("image_id", F.col("y").alias("ty"), F.col("x").alias("tx"), F.col(value).alias("tv"))
+    return texture.join(F.broadcast(taps), ["ty", "tx"]).groupBy("image_id", "y", "x").agg(F.sum(F.col("w") * F.col("tv")).alias("value"))
+
+
+def on_grey(pixels: DataFrame, grey: float = 128.0) -> DataFrame:
+    """``pixels`` laid over an opaque grey: r, g, b within 0 and 255."""
+    a = F.col("alpha")
+    return pixels.withColumns({c: F.least(F.greatest(F.col(c) * a + grey * (1.0 - a), F.lit(0.0)), F.lit(255.0)) for c in "rgb"})
+
+
 def dual_edges(pixels: DataFrame, label: str = "label") -> DataFrame:
     """Unit segments (x0, y0)-(x1, y1) of pixel corners between unequal neighbours and along the canvas frame.
 

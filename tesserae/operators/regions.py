@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
+from .components import components
 
 
 def _grid(image: pa.Table, column: str, fill: float = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -28,18 +29,6 @@ def _table(image: pa.Table, **columns) -> pa.Table:
     return pa.table({"image_id": pa.array([image.column("image_id")[0].as_py()] * n, pa.string()), **columns})
 
 
-def components(pixels: DataFrame, label: str = "label") -> DataFrame:
-    """image_id, y, x, component of the labelled pixels: 4-connected, exact whatever the shape."""
-
-    def kernel(image: pa.Table) -> pa.Table:
-        grid, y, x = _grid(image, label)
-        part = k.components4(grid)[y, x]
-        keep = part >= 0
-        return _table(image, y=y[keep], x=x[keep], component=part[keep])
-
-    return _by_image(pixels, [label], kernel, "y int, x int, component int")
-
-
 def component_sizes(pixels: DataFrame, label: str = "label") -> DataFrame:
     parts = components(pixels, label)
     return parts.groupBy("image_id", "component").agg(F.count(F.lit(1)).alias("pixels"), F.min("y").alias("y0"), F.min("x").alias("x0"))
@@ -57,22 +46,26 @@ def holes(pixels: DataFrame, label: str = "label", value: int = 0) -> DataFrame:
 
 
 def kmeans_labels(pixels: DataFrame, n_colours: int = 6, seed: int = 0) -> DataFrame:
-    """image_id, y, x, label by k-means in LAB over the subject; background is -1."""
+    """image_id, y, x, label by k-means in LAB over the subject; background is -1.
+
+    An image's task holds its distinct colours with their counts, not its pixels: 16.7 million rows at most, whatever the image.
+    """
     from ..functions.color import rgb_to_lab
 
-    lab = pixels.withColumn("lab", rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))).select("image_id", "y", "x", "lab.*", "alpha")
+    colours = pixels.where("alpha >= 0.5").groupBy("image_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
+    lab = colours.select("*", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("lab")).select("image_id", "r", "g", "b", "n", "lab.*")
 
     def kernel(image: pa.Table) -> pa.Table:
-        order = np.lexsort((image.column("x").to_numpy(), image.column("y").to_numpy()))
-        image = image.take(pa.array(order))
+        image = image.sort_by([("r", "ascending"), ("g", "ascending"), ("b", "ascending")])
         points = np.column_stack([image.column(c).to_numpy() for c in ("lab_l", "lab_a", "lab_b")])
-        subject = image.column("alpha").to_numpy() >= 0.5
-        label = np.full(len(points), -1, np.int32)
-        if subject.any():
-            label[subject] = k.kmeans(points[subject], n_colours, seed)[1]
-        return _table(image, y=image.column("y"), x=image.column("x"), label=label)
-
-    return _by_image(lab, ["lab_l", "lab_a", "lab_b", "alpha"], kernel, "y int, x int, label int")
+        label = k.kmeans(points, n_colours, seed, weights=image.column("n").to_numpy().astype(float))[1]
+        return image.select(["image_id", "r", "g", "b"]).append_column("label", pa.array(label, pa.int32()))
+
+    kind = {f.name: f.dataType.simpleString() for f in pixels.schema}
+    found = lab.groupBy("image_id").applyInArrow(kernel, f"image_id string, r {kind['r']}, g {kind['g']}, b {kind['b']}, label int")
+    found = found.withColumn("subject", F.lit(True))
+    joined = pixels.withColumn("subject", F.col("alpha") >= 0.5).join(found, ["image_id", "r", "g", "b", "subject"], "left")
+    return joined.select("image_id", "y", "x", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def clean_labels(pixels: DataFrame, least_frac: float = 0.0015) -> DataFrame:

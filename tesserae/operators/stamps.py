@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
-from .matching import complexity, descriptor_distance, recall_score, top_k
+from .matching import adjusted_recall, complexity, descriptor_distance, recall_score, simplicity, top_k
 
 #: Texture size that a stamp is measured on.
 TEXTURE = 128
@@ -153,13 +153,36 @@ def region_features(pixels: DataFrame, label: str = "label") -> DataFrame:
     return pixels.select("image_id", "y", "x", label).groupBy("image_id").applyInArrow(kernel, schema)
 
 
-def recall(regions: DataFrame, features: DataFrame, n: int = 3) -> DataFrame:
-    """The n best stamps of every region. The library has some hundreds of stamps, so it is the broadcast side."""
-    s = features.select("asset_id", F.slice("descriptor", 1, 24).alias("s_descriptor"), F.col("circularity").alias("s_circ"), F.col("elongation").alias("s_elong"), "n_holes")
-    r = regions.select("image_id", "label", F.slice("descriptor", 1, 24).alias("r_descriptor"), F.col("circularity").alias("r_circ"), F.col("elongation").alias("r_elong"))
+#: A library of more stamps than this is not broadcast.
+LIBRARY = 20_000
+
+
+def recall(
+    regions: DataFrame, features: DataFrame, n: int = 3, tags: list[str] | None = None, wants_holes: bool | None = None, most_complex: float | None = None, least_fill: float = 0.0
+) -> DataFrame:
+    """The n best stamps of every region, of those that are no more complex and no emptier than asked for.
+
+    The library is one side of all pairs and is broadcast; its size is checked.
+    """
+    if features.limit(LIBRARY + 1).count() > LIBRARY:
+        raise ValueError(f"a library has at most {LIBRARY} stamps")
+    asked = features.where(F.col("area_frac") >= least_fill)
+    asked = asked if most_complex is None else asked.where(F.col("complexity") <= most_complex)
+    tagged = F.arrays_overlap("tags", F.array(*map(F.lit, tags))) if tags else F.lit(False)
+    s = asked.select(
+        "asset_id", F.slice("descriptor", 1, 24).alias("s_descriptor"), F.col("circularity").alias("s_circ"), F.col("elongation").alias("s_elong"), "n_holes",
+        "complexity", F.col("area_frac").alias("s_fill"), tagged.alias("tagged"),
+    )
+    fill = F.least(F.col("area_frac") * F.lit(4.0), F.lit(1.0))
+    r = regions.select(
+        "image_id", "label", F.slice("descriptor", 1, 24).alias("r_descriptor"), F.col("circularity").alias("r_circ"), F.col("elongation").alias("r_elong"),
+        F.col("area_frac").alias("r_area"), simplicity(F.col("circularity"), F.col("elongation"), fill, F.col("area_frac")).alias("r_simple"),
+    )
     pairs = r.join(F.broadcast(s))
     d = descriptor_distance(F.col("r_descriptor"), F.col("s_descriptor"))
-    scored = pairs.withColumn("score", recall_score(d, F.col("r_circ") - F.col("s_circ"), F.col("r_elong"), F.col("s_elong")))
+    plain = recall_score(d, F.col("r_circ") - F.col("s_circ"), F.col("r_elong"), F.col("s_elong"))
+    wants = F.lit(wants_holes).cast("boolean")
+    scored = pairs.withColumn("score", adjusted_recall(plain, F.col("complexity"), F.col("s_fill"), F.col("n_holes"), F.col("tagged"), F.col("r_simple"), F.col("r_area"), wants))
     return top_k(scored, ["image_id", "label"], "score", "asset_id", n).select("image_id", "label", "asset_id", "score", "rank")
 
 
@@ -170,8 +193,7 @@ def cover_regions(pixels: DataFrame, recalled: DataFrame, stamps: DataFrame, mos
     stamps, and poses drawn around it. Only chosen poses leave the task. Each
     step takes the pose with the best gain of cover less what leaks.
     """
-    shapes = stamps.select("asset_id", F.col("rings")[0].alias("ring"))
-    chosen = recalled.join(F.broadcast(shapes), "asset_id").select("image_id", "label", "asset_id", "rank", "ring")
+    chosen = recalled.join(F.broadcast(stamps.select("asset_id", "rings")), "asset_id").select("image_id", "label", "asset_id", "rank", "rings")
 
     def kernel(key: tuple, region: pa.Table, candidates: pa.Table) -> pa.Table:
         if not region.num_rows or not candidates.num_rows:
@@ -180,7 +202,7 @@ def cover_regions(pixels: DataFrame, recalled: DataFrame, stamps: DataFrame, mos
         size = int(region.column("size")[0].as_py())
         target = np.zeros((size, size), bool)
         target[y, x] = True
-        outlines = {c["asset_id"]: np.array([(p["x"], p["y"]) for p in c["ring"]]) for c in sorted(candidates.to_pylist(), key=lambda c: c["rank"])}
+        outlines = {c["asset_id"]: [np.array([(p["x"], p["y"]) for p in ring]) for ring in c["rings"]] for c in sorted(candidates.to_pylist(), key=lambda c: c["rank"])}
         rng = np.random.default_rng([seed, int(key[1].as_py()), size])
         union, out = np.zeros_like(target), []
         for step in range(most):
@@ -192,14 +214,14 @@ def cover_regions(pixels: DataFrame, recalled: DataFrame, stamps: DataFrame, mos
             ry, rx = np.nonzero(largest)
             w, h = np.ptp(rx) + 1, np.ptp(ry) + 1
             best = None
-            for asset, ring in outlines.items():
+            for asset, rings in outlines.items():
                 for n in range(particles):
                     jitter = rng.normal(size=5) if n else np.zeros(5)
                     pose = (
                         rx.mean() + 0.5 + jitter[0] * 0.08 * w if n else (rx.min() + rx.max() + 1) / 2, ry.mean() + 0.5 + jitter[1] * 0.08 * h if n else (ry.min() + ry.max() + 1) / 2,
                         w * math.exp(0.15 * jitter[2]), h * math.exp(0.15 * jitter[3]), (90.0 * (n % 4) + 12 * jitter[4]) if n else 0.0,
                     )
-                    m = k.stamp_mask(ring, size, *pose)
+                    m = np.logical_xor.reduce([k.stamp_mask(ring, size, *pose) for ring in rings])  # inner rings are holes
                     gain = (m & rest).sum() / target.sum()
                     leak = (m & ~target).sum() / max(m.sum(), 1)
                     score = gain - 0.8 * leak * m.sum() / target.sum()

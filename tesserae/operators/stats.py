@@ -70,10 +70,10 @@ def coverage(target: DataFrame, union: DataFrame, keys: list[str], by: str) -> D
     )
 
 
-def majority(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The most frequent value of each group; the smallest of equals."""
-    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("n"), F.col(value).alias("v")))
+def majority(rows: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
+    """The most frequent value of each group; of equals the one that is seen first by ``order``."""
+    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "first", F.col(value).alias("v")))
     return counted.groupBy(*by).agg(best.alias("best")).select(*by, F.col("best.v").alias(value), (-F.col("best.n")).alias("n"))
 
 

@@ -104,7 +104,7 @@ SELECT conv_id, CAST(run AS BIGINT) AS run, arg_min(role, turn) AS role, min(tur
 c AS (SELECT *, CAST(lower(event_type) IS DISTINCT FROM lag(lower(event_type)) OVER (PARTITION BY user_id ORDER BY k) AS INT) AS g FROM e),
 r AS (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY k) - 1 AS run FROM c)
 SELECT user_id, CAST(run AS BIGINT) AS run, arg_min(event_type, k) AS event_type, min(k) AS first, max(k) AS last, count(*) AS n FROM r GROUP BY 1, 2""",
-    "majority_type": "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, arg_min(event_type, (-n, event_type)) AS event_type, max(n) AS n FROM c GROUP BY 1",
+    "majority_type": "WITH c AS (SELECT user_id, event_type, count(*) AS n, min((ts, event_id)) AS seen FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, seen) AS k FROM c) SELECT user_id, event_type, n FROM r WHERE k = 1",
     "arc_length": f"WITH {PATHS}, g AS (SELECT user_id, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS seg FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos)) SELECT user_id, round(coalesce(sum(seg), 0.0), 6) AS arc, count(*) AS n FROM g GROUP BY 1",
     "resample": f"""WITH {PATHS}, g AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0.0) AS seg FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
 a AS (SELECT *, sum(seg) OVER (PARTITION BY user_id ORDER BY pos) AS arc FROM g),
@@ -155,9 +155,9 @@ round(0.50 * exp(-v * 20 / 12) + 0.28 * u + 0.18 * u * v - 0.40 * (1 - u) + 0.03
 round(0.30 * u + 0.35 * {_CLIP('1 - v * 60 / 55')} + 0.25 * (1 - v) + 0.10 * u, 8) AS similarity,
 round(CASE WHEN v < 0.60 THEN least(overall, 0.35) ELSE overall END, 8) AS final FROM s""",
     "depth_order": f"""WITH {LABELLED}, {BORDER_CTE}, dg AS ({DEGREES}), f AS (SELECT label, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM lb GROUP BY 1),
-rd AS (SELECT *, CAST(round_even(cx, 0) AS INT) AS rx, CAST(round_even(cy, 0) AS INT) AS ry FROM f), h AS (SELECT max(y) + 1.0 AS h FROM lb),
+rd AS (SELECT *, CAST(floor(cx + 0.5) AS INT) AS rx, CAST(floor(cy + 0.5) AS INT) AS ry FROM f), h AS (SELECT max(y) + 1.0 AS h FROM lb),
 en AS (SELECT rd.label, count(*) AS enc FROM rd JOIN lb ON lb.x = rx AND lb.y = ry AND lb.label <> rd.label JOIN f u ON u.label = lb.label AND u.n * 0.95 > rd.n GROUP BY 1),
-sc AS (SELECT f.label, 0.45 * f.n / max(f.n) OVER () + 0.25 * coalesce(degree, 0) / greatest(max(coalesce(degree, 0)) OVER (), 1) + 0.15 * exp(-2.5 * (pow((cx - 10.5) / 10.5, 2) + pow((cy - h / 2) / (h / 2), 2))) + 0.15 / (1 + coalesce(enc, 0)) AS score
+sc AS (SELECT f.label, 0.45 * f.n / max(f.n) OVER () + 0.25 * coalesce(degree, 0) / greatest(max(coalesce(degree, 0)) OVER (), 1) + 0.15 * exp(-2.5 * (pow((cx - 10.5) / 21, 2) + pow((cy - h / 2) / h, 2))) + 0.15 / (1 + coalesce(enc, 0)) AS score
   FROM f CROSS JOIN h LEFT JOIN dg ON dg.label = f.label LEFT JOIN en ON en.label = f.label)
 SELECT 'emb' AS image_id, label, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, label) - 1 AS INT) AS depth FROM sc""",
     "gap_round": f"""WITH {FORMULA}, o(k, dy, dx) AS (VALUES (0, -1, 0), (1, 1, 0), (2, 0, -1), (3, 0, 1)), c AS (SELECT p.image_id, p.y, p.x, q.label, count(*) AS n, min(k) AS k FROM lb p, o, lb q
@@ -165,4 +165,51 @@ WHERE p.label < 0 AND q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x +
 SELECT lb.image_id, CASE WHEN lb.label >= 0 THEN lb.label ELSE coalesce(b.label, -1) END AS label, count(*) AS n FROM lb LEFT JOIN b ON b.image_id = lb.image_id AND b.y = lb.y AND b.x = lb.x GROUP BY 1, 2""",
     "svg_sizes": "SELECT CAST(p_size AS DOUBLE) AS native_w, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size * 2 AS DOUBLE) ELSE 7.5 END AS native_h, count(*) AS n FROM part GROUP BY 1, 2",
     "layer_documents": """SELECT CASE WHEN l_linenumber = 2 THEN '#AABBCC' ELSE '#3A9FFA' END AS fill, CASE WHEN l_tax <= 0 OR l_quantity <= 0 THEN 'size is not positive' END AS problem, count(*) AS n, round(sum(l_quantity), 2) AS height FROM lineitem GROUP BY 1, 2""",
+    "edge_roles": f"""WITH {FORMULA}, {BORDER_CTE}, ends AS (SELECT image_id, a AS label, length FROM bo WHERE a >= 0 AND b >= 0 UNION ALL SELECT image_id, b, length FROM bo WHERE a >= 0 AND b >= 0),
+dg AS (SELECT image_id, label, sum(length) AS degree FROM ends GROUP BY 1, 2), f AS (SELECT image_id, label, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM lb WHERE label >= 0 GROUP BY 1, 2),
+rd AS (SELECT f.*, u.label AS under FROM f LEFT JOIN lb u ON u.image_id = f.image_id AND u.x = floor(cx + 0.5) AND u.y = floor(cy + 0.5)),
+en AS (SELECT rd.image_id, rd.label, count(*) AS enc FROM rd JOIN f u ON u.image_id = rd.image_id AND u.label = rd.under AND rd.under <> rd.label AND u.n * 0.95 > rd.n GROUP BY 1, 2),
+sc AS (SELECT rd.*, 0.45 * n / max(n) OVER w + 0.25 * coalesce(degree, 0) / greatest(max(coalesce(degree, 0)) OVER w, 1) + 0.15 * exp(-2.5 * (pow((cx - 32) / 64, 2) + pow((cy - 32) / 64, 2))) + 0.15 / (1 + coalesce(enc, 0)) AS score
+  FROM rd LEFT JOIN dg USING (image_id, label) LEFT JOIN en USING (image_id, label) WINDOW w AS (PARTITION BY rd.image_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, label) AS depth FROM sc),
+e AS (SELECT bo.image_id, bo.a, bo.b, CASE WHEN p.depth > q.depth THEN p.under = q.label AND p.n < 0.95 * q.n ELSE q.under = p.label AND q.n < 0.95 * p.n END AS cut
+  FROM bo LEFT JOIN o p ON p.image_id = bo.image_id AND p.label = bo.a LEFT JOIN o q ON q.image_id = bo.image_id AND q.label = bo.b)
+SELECT image_id, a, b, CASE WHEN a >= 0 AND cut THEN 'OCCLUSION_CUT' ELSE 'SHAPE' END AS role FROM e""",
+    "chamfer_huber": f"""WITH {SETS}, {NEAR}, mm AS (SELECT b.id, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS d FROM s a, s b WHERE a.label = 0 AND b.label = 1 GROUP BY b.id)
+SELECT 'emb' AS image_id, round((SELECT avg(CASE WHEN d < 8 THEN 0.5 * d * d / 8 ELSE d - 4 END) FROM nn) + (SELECT avg(CASE WHEN d < 8 THEN 0.5 * d * d / 8 ELSE d - 4 END) FROM mm), 6) AS chamfer""",
+    "recall_formulas": """WITH p AS (SELECT p_partkey, p_partkey % 2 AS h, p_partkey % 3 AS w, p_partkey % 5 AS t, p_size / 50.0::DOUBLE AS u, p_retailprice / 2000.0::DOUBLE AS v FROM part)
+SELECT p_partkey, round((u + v) * CASE WHEN t = 0 THEN 1.35 ELSE 1 END * CASE WHEN h > 0 AND w = 0 THEN 1.25 WHEN h > 0 AND w = 1 THEN 0.75 ELSE 1 END * exp(-2.2 * v * u)
+  * CASE WHEN v > 0.55 AND u / 5 > 0.04 THEN exp(-abs(v - 0.75) * v) ELSE 1 END, 8) AS recall,
+round(exp(-2.0 * abs(v - u)) + exp(-1.5 * abs(ln(greatest(1 + u, 1) + 1e-6) - ln(greatest(1 + 3 * v, 1) + 1e-6))) + exp(-3.0 * u * v) + 0.5 * v + CASE WHEN h = 0 THEN 0.4 ELSE 0 END, 8) AS plain FROM p""",
+    "tag_overlap": "SELECT p_partkey FROM part WHERE list_has_any(string_split(p_name, ' '), ['ring', 'red'])",
+    "order_flags": "SELECT l_orderkey, bool_or(l_returnflag = 'R') AS any_returned, bool_and(l_returnflag = 'R') AS all_returned, bool_or(l_quantity > 5) AS any_large, bool_and(l_quantity > 5) AS all_large FROM lineitem GROUP BY 1",
+    "best_line": "SELECT l_partkey, l_discount, l_quantity, l_tax, l_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_discount, -l_quantity, l_tax, l_orderkey, l_linenumber, l_extendedprice) AS k FROM lineitem) WHERE k = 1",
+    "random_sample": "SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('7:' || c_custkey), c_custkey) AS k FROM customer) WHERE k <= 3",
+    "unique_concat": "WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS seen FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type, ',' ORDER BY seen) AS types FROM f GROUP BY 1",
+    "largest_labels": f"WITH {LABELLED}, n AS (SELECT image_id, label, count(*) AS pixels FROM lb WHERE label >= 0 GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY pixels DESC, label) - 1 AS INT) AS place FROM n) SELECT * FROM r WHERE place < 4",
+    "global_mode": f"WITH {FORMULA}, n AS (SELECT image_id, label, count(*) AS n FROM lb WHERE label >= 0 GROUP BY 1, 2) SELECT image_id, arg_min(label, (-n, label)) AS label, max(n) AS n FROM n GROUP BY 1",
+    "polar_order": f"WITH {PATHS}, c AS (SELECT *, atan2(y - avg(y) OVER (PARTITION BY user_id), x - avg(x) OVER (PARTITION BY user_id)) AS angle FROM p) SELECT user_id, CAST(pos AS INT) AS pos, CAST(row_number() OVER (PARTITION BY user_id ORDER BY angle, pos) AS INT) AS place FROM c",
+    "duplicate_rings": """WITH r AS (SELECT p_partkey AS ring, p_size * 4.0 AS cx, p_partkey % 97 AS cy, p_retailprice AS area FROM part)
+SELECT 'p' AS image_id, b.ring, min(a.ring) AS first_ring FROM r a JOIN r b ON a.ring < b.ring AND sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)) <= 3
+  AND (least(abs(a.area), abs(b.area)) < 1e-6 OR least(abs(a.area), abs(b.area)) / greatest(abs(a.area), abs(b.area)) >= 0.7) GROUP BY 1, 2""",
+    "face_cap": f"""WITH {LABELLED}, {BORDER_CTE}, n AS (SELECT label, count(*) AS n FROM lb WHERE label >= 0 GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, label) AS place FROM n),
+t AS (SELECT a AS label, b AS other, length FROM bo UNION ALL SELECT b, a, length FROM bo), v AS (SELECT t.label, arg_min(other, (-length, other)) AS other FROM t JOIN r k ON k.label = other AND k.place <= 4 GROUP BY 1),
+m AS (SELECT r.label, CASE WHEN place <= 4 THEN r.label ELSE coalesce(v.other, (SELECT label FROM r WHERE place = 1)) END AS other FROM r LEFT JOIN v USING (label))
+SELECT 'emb' AS image_id, m.other AS label, CAST(sum(n) AS BIGINT) AS n FROM n JOIN m USING (label) GROUP BY 1, 2""",
+    "affine_sample": f"""WITH {VALUES}, k AS (SELECT cos(radians(30)) / 1.25 AS c, sin(radians(30)) / 1.25 AS s),
+g AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, (x - 32) * c + (y - 32) * s + 31.5 AS u, (y - 32) * c - (x - 32) * s + 31.5 AS w FROM range(0, 64) a(y), range(0, 64) b(x), k),
+t AS (SELECT y, x, CAST(floor(u) AS INT) + i AS tx, CAST(floor(w) AS INT) + j AS ty, CASE WHEN i = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END * CASE WHEN j = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END AS f FROM g, (VALUES (0), (1)) p(i), (VALUES (0), (1)) q(j))
+SELECT v.image_id, t.y, t.x, round(sum(f * value), 6) + 0.0 AS value FROM t JOIN v ON v.x = tx AND v.y = ty WHERE f > 0 GROUP BY 1, 2, 3""",
+    "grey_composite": "WITH px AS (" + VECTOR_RGB_SQL + "), a AS (SELECT *, (x % 5) / 4.0 AS al FROM px) SELECT y, " + ", ".join(f"round(avg(least(greatest({c} * al + 128 * (1 - al), 0), 255)), 6) AS {c}" for c in "rgb") + " FROM a GROUP BY y",
+    "median_filter": f"""WITH {VALUES}, m AS (SELECT p.y, p.x, list_sort(list(q.value)) AS l FROM v p JOIN v q ON q.y BETWEEN p.y - 1 AND p.y + 1 AND q.x BETWEEN p.x - 1 AND p.x + 1 GROUP BY 1, 2),
+e AS (SELECT y, l[CAST(ceil(len(l) / 2.0) AS INT)] AS median FROM m) SELECT y, round(sum(median), 6) AS total, round(max(median), 6) AS top FROM e GROUP BY y""",
+    "central_steps": f"""WITH {VALUES}, e AS (SELECT y, coalesce(lead(value) OVER wx - lag(value) OVER wx, 0) AS dx, coalesce(lead(value) OVER wy - lag(value) OVER wy, 0) AS dy FROM v WINDOW wx AS (PARTITION BY y ORDER BY x), wy AS (PARTITION BY x ORDER BY y))
+SELECT y, round(sum(abs(dx)), 6) AS across, round(sum(abs(dy)), 6) AS down FROM e GROUP BY y""",
+    "correlation": "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS corr FROM lineitem GROUP BY 1",
+    "face_cycles": f"""WITH {LABELLED.replace('lb AS', 'lv AS')}, lf AS ({formula_sql()}), lb AS (SELECT image_id, y, x, label FROM lv UNION ALL SELECT image_id, y, x, label FROM lf),
+n AS (SELECT image_id, label AS face, lag(label) OVER wy AS u, lead(label) OVER wy AS d, lag(label) OVER wx AS l, lead(label) OVER wx AS r, y, x, label FROM lb WINDOW wx AS (PARTITION BY image_id, y ORDER BY x), wy AS (PARTITION BY image_id, x ORDER BY y)),
+q AS (SELECT *, lead(r) OVER (PARTITION BY image_id, x ORDER BY y) AS dr FROM n)
+SELECT image_id, face, count(*) - count_if(r = face) - count_if(d = face) + count_if(r = face AND d = face AND dr = face) AS euler,
+  count_if(u IS DISTINCT FROM face) + count_if(d IS DISTINCT FROM face) + count_if(l IS DISTINCT FROM face) + count_if(r IS DISTINCT FROM face) AS length, count(*) AS pixels
+FROM q WHERE face >= 0 GROUP BY 1, 2""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..operators import depth, labels, layers, matching, paths, raster, regions, stamps, stats
+from ..operators import depth, halfedges, labels, layers, matching, paths, raster, regions, selection, stamps, stats
 from ..sources import documents, rasters
 from . import approximate
 from .recipe import recipe
@@ -151,6 +151,11 @@ def seam_p95(spark, d):
     return r6(matching.seam_p95(a, b, "image_id", 4.0), "seam_p95")
 
 
+def chamfer_huber(spark, d):
+    a, b = _point_sets(spark, d)
+    return r6(matching.chamfer(a, b, "image_id", 4.0, "huber"), "chamfer")
+
+
 def uncovered(spark, d):
     a, b = _point_sets(spark, d)
     return r6(matching.uncovered(a, b, "image_id", 4.0, 3.0), "d")
@@ -181,7 +186,7 @@ def type_runs(spark, d):
 
 
 def majority_type(spark, d):
-    return stats.majority(read(spark, d, "events"), ["user_id"], "event_type")
+    return stats.majority(read(spark, d, "events"), ["user_id"], "event_type", ["ts", "event_id"])
 
 
 def _paths(spark, d):
@@ -369,8 +374,7 @@ def stamp_recall(spark, d):
 
 
 def stamp_cover(spark, d):
-    table = stamps.stamp_table(spark)
-    px = rasters.formula_rasters(spark, {k: rasters.FORMULAS[k] for k in ("split64", "disk64", "quad48", "ell48")})
+    table, px = stamps.stamp_table(spark), rasters.formula_rasters(spark)
     best = stamps.recall(stamps.region_features(px), stamps.stamp_features(table), 3)
     out = stamps.cover_regions(px, best, table)
     return out.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("steps"), F.round(F.max("cover"), 4).alias("cover"))
@@ -402,3 +406,90 @@ def approximate_layers(spark, d):
     px = rasters.formula_rasters(spark, {k: rasters.FORMULAS[k] for k in ("split64", "disk64", "quad48")})
     fills = px.where("label >= 0").select("image_id", "label").distinct().withColumn("fill", color.rgb_to_hex(F.col("label") * 40, F.lit(90), F.lit(160)))
     return approximate.approximate(px, fills, stamps.stamp_table(spark), recipe("logo", canvas=64, recall=3, particles=16))
+
+
+def recall_formulas(spark, d):
+    p = read(spark, d, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("u"), (F.col("p_retailprice") / 2000.0).alias("v"))
+    u, v, n = F.col("u"), F.col("v"), F.col("p_partkey")
+    wants = F.when(n % 3 == 0, F.lit(True)).when(n % 3 == 1, F.lit(False))
+    return p.select(
+        "p_partkey", F.round(matching.adjusted_recall(u + v, u, v, n % 2, n % 5 == 0, v, u / 5, wants), 8).alias("recall"),
+        F.round(matching.plain_stamp_score(u, 1 + 3 * v, v, 1 + u, u * v, v, n % 2), 8).alias("plain"),
+    )
+
+
+def tag_overlap(spark, d):
+    p = read(spark, d, "part").withColumn("tags", F.split("p_name", " "))
+    return selection.with_any_tag(p, "tags", ["ring", "red"]).select("p_partkey")
+
+
+def order_flags(spark, d):
+    return selection.flags(read(spark, d, "lineitem"), ["l_orderkey"], returned=F.col("l_returnflag") == "R", large=F.col("l_quantity") > 5)
+
+
+def best_line(spark, d):
+    order = [F.col("l_discount"), -F.col("l_quantity"), F.col("l_tax"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_extendedprice")]
+    return selection.best_candidate(read(spark, d, "lineitem"), ["l_partkey"], order, ["l_discount", "l_quantity", "l_tax", "l_orderkey"])
+
+
+def random_sample(spark, d):
+    return selection.sample(read(spark, d, "customer"), ["c_nationkey"], "c_custkey", 3, seed=7).select("c_nationkey", "c_custkey")
+
+
+def unique_concat(spark, d):
+    at = F.struct("ts", "event_id")
+    found = selection.ordered_unique(read(spark, d, "events").withColumn("at", at), ["user_id"], "at", "event_type")
+    return found.select("user_id", F.array_join("values", ",").alias("types"))
+
+
+def largest_labels(spark, d):
+    return selection.largest_labels(stats.region_profile(labelled(spark, d)), 4).select("image_id", "label", "pixels", "place")
+
+
+def global_mode(spark, d):
+    return selection.global_mode(rasters.formula_rasters(spark))
+
+
+def polar_order(spark, d):
+    return selection.polar_order(_paths(spark, d), "user_id", "pos").select("user_id", "pos", "place")
+
+
+def duplicate_rings(spark, d):
+    p = read(spark, d, "part").select(F.lit("p").alias("image_id"), F.col("p_partkey").alias("ring"), (F.col("p_size") * 4.0).alias("cx"), (F.col("p_partkey") % 97).cast("double").alias("cy"), F.col("p_retailprice").alias("area"))
+    return selection.duplicate_rings(p)
+
+
+def face_cap(spark, d):
+    return selection.cap_faces(labelled(spark, d), 4).groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def affine_sample(spark, d):
+    out = raster.affine_sample(rasters.vector_pixels(read(spark, d, "embeddings")), "value", 64, 64, (32.0, 32.0), (31.5, 31.5), 1.25, 30.0)
+    return out.withColumn("value", F.round("value", 6) + 0.0)
+
+
+def grey_composite(spark, d):
+    px = rgb(spark, d).withColumn("alpha", (F.col("x") % 5) / 4.0)
+    return raster.on_grey(px).groupBy("y").agg(*[F.round(F.avg(c), 6).alias(c) for c in "rgb"])
+
+
+def median_filter(spark, d):
+    out = raster.median3(rasters.vector_pixels(read(spark, d, "embeddings")), "value", "median")
+    return r6(out.groupBy("y").agg(F.sum("median").alias("total"), F.max("median").alias("top")), "total", "top")
+
+
+def central_steps(spark, d):
+    out = raster.central_difference(rasters.vector_pixels(read(spark, d, "embeddings")), "value", "dx", "dy")
+    return r6(out.groupBy("y").agg(F.sum(F.abs("dx")).alias("across"), F.sum(F.abs("dy")).alias("down")), "across", "down")
+
+
+def correlation(spark, d):
+    return r6(read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.corr("l_quantity", "l_extendedprice").alias("corr")), "corr")
+
+
+def face_cycles(spark, d):
+    px = labelled(spark, d).unionByName(rasters.formula_rasters(spark), allowMissingColumns=True)
+    found = halfedges.face_cycles(px)
+    # outlines less holes is the Euler number of a face, which can be counted without a walk
+    euler = F.count_if(F.col("area") > 0) - F.count_if(F.col("area") < 0)
+    return found.groupBy("image_id", "face").agg(euler.alias("euler"), F.sum("length").alias("length"), F.sum("area").cast("long").alias("pixels"))

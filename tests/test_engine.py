@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import color, kernels
-from tesserae.operators import labels, layers, matching, paths, raster, regions, stamps, stats
+from tesserae.operators import components, depth, halfedges, labels, layers, matching, paths, raster, regions, stamps, stats
 from tesserae.plans import registry
 from tesserae.sources import documents, rasters
 
@@ -102,7 +102,65 @@ def test_stamp_features_and_cover(spark):
     assert f["OpenCircle"].n_holes >= 1 and "ring" in f["OpenCircle"].tags and f["Circle"].n_holes == 0 and f["Circle"].contour_area_rel_err <= 0.15
     assert all(0 <= r.complexity <= 1 for r in f.values()) and f["Circle"].complexity < f["Star"].complexity
     best = registry.QUERIES["stamp_cover"](spark, SF).collect()
-    assert {r.image_id for r in best} == {"split64", "disk64", "quad48", "ell48"} and all(r.cover >= 0.35 for r in best)
+    assert {r.image_id for r in best} == set(rasters.FORMULAS) and all(r.cover >= 0.35 for r in best)
+
+
+def test_depth_by_hand(spark):
+    """Two faces on a canvas of 8 x 8: the left three columns are face 0, a block of four pixels in it is face 1, the rest background."""
+    rows = [("i", y, x, 1 if 2 <= y < 4 and 0 <= x < 2 else 0 if x < 3 else -1) for y in range(8) for x in range(8)]
+    px = spark.createDataFrame(rows, "image_id string, y int, x int, label int")
+    faces = depth.enclosing(stats.region_profile(px), px)
+    got = {r.label: (r.score, r.depth) for r in depth.depth_order(faces, raster.border_lengths(px), (8.0, 8.0)).collect()}
+    # 20 and 4 pixels; their shared border has 6 sides for either, the background's do not count
+    cx0, cy0 = (sum(x for _, y, x, v in rows if v == 0) / 20, sum(y for _, y, x, v in rows if v == 0) / 20)
+    r0, r1 = ((cx0 - 4) / 8) ** 2 + ((cy0 - 4) / 8) ** 2, ((0.5 - 4) / 8) ** 2 + ((2.5 - 4) / 8) ** 2
+    assert got[0][0] == pytest.approx(0.45 + 0.25 + 0.15 * math.exp(-2.5 * r0) + 0.15)
+    # the centroid (0.5, 2.5) of face 1 is rounded up to (1, 3), a pixel of its own
+    assert got[1][0] == pytest.approx(0.45 * 0.2 + 0.25 + 0.15 * math.exp(-2.5 * r1) + 0.15)
+    assert (got[0][1], got[1][1]) == (0, 1)
+
+
+def test_majority_takes_the_first_seen_of_equals(spark):
+    rows = spark.createDataFrame([("g", 1, "b"), ("g", 2, "a"), ("g", 3, "a"), ("g", 4, "b"), ("h", 1, "z")], "k string, at int, v string")
+    assert sorted((r.k, r.v, r.n) for r in stats.majority(rows, ["k"], "v", ["at"]).collect()) == [("g", "b", 2), ("h", "z", 1)]
+
+
+def test_small_parts_without_neighbours_join_the_mode():
+    grid = np.full((9, 9), -1)
+    grid[0:3, 0:3], grid[6:9, 0:3], grid[4, 7] = 2, 1, 0
+    grid[6, 0] = -1
+    assert kernels.merge_small(grid, 3)[4, 7] == 2
+
+
+def test_components_equal_search(spark):
+    rng = np.random.default_rng(1)
+    grid = rng.integers(-1, 2, (40, 37))
+    grid[5:35, 20] = 1
+    rows = [("i", y, x, int(grid[y, x])) for y in range(40) for x in range(37)] + [("j", y, x, 0) for y, x in ((0, 0), (0, 2), (1, 1), (2, 0), (5, 5), (5, 6))]
+    px = spark.createDataFrame(rows, "image_id string, y int, x int, label int")
+    got = {(r.image_id, r.y, r.x): r.component for r in components.components(px).collect()}
+    want = kernels.components4(grid)
+    assert all(got.get(("i", y, x), -1) == want[y, x] for y in range(40) for x in range(37))
+    assert [got["j", y, x] for y, x in ((0, 0), (0, 2), (1, 1), (2, 0), (5, 5), (5, 6))] == [0, 1, 2, 3, 4, 4]
+
+
+def test_half_edges_close(spark):
+    px = rasters.formula_rasters(spark)
+    edges = halfedges.half_edges(px)
+    assert halfedges.unbalanced(edges).count() == 0
+    found = {(r.image_id, r.face): (r.n, r.holes, r.area) for r in halfedges.face_cycles(px).groupBy("image_id", "face").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("area") < 0).alias("holes"), F.sum("area").alias("area")).collect()}
+    assert found["ring96", 0] == (2, 1, 3260.0) and found["split64", 0] == (1, 0, 2048.0) and found["diskbg64", 0] == (2, 1, 64 * 64 - 1313.0)
+    touching = spark.createDataFrame([("t", 0, 0, 0), ("t", 0, 1, -1), ("t", 1, 0, -1), ("t", 1, 1, 0)], "image_id string, y int, x int, label int")
+    assert sorted(r.length for r in halfedges.face_cycles(touching).collect()) == [4, 4]  # parts that touch in a corner stay apart
+
+
+def test_robust_chamfer(spark):
+    a, b = np.array([[0.0, 0], [0, 1]]), np.array([[3.0, 0], [20, 0]])
+    frame = lambda p: spark.createDataFrame([("s", k, float(x), float(y)) for k, (x, y) in enumerate(p)], "s string, id int, x double, y double")
+    d = np.hypot(*(a[:, None] - b[None]).transpose(2, 0, 1))
+    loss = lambda v: np.where(v < 8, v * v / 16, v - 4).mean()
+    got = matching.chamfer(frame(a), frame(b), "s", 2.0, "huber").first().chamfer
+    assert got == pytest.approx(loss(d.min(1)) + loss(d.min(0)))
 
 
 def test_feature_store_builds_only_what_is_missing(spark, tmp_path):
@@ -131,7 +189,7 @@ def test_empty_inputs(spark):
     assert labels.fill_gaps_round(px).count() == 0
 
 
-FAST = ["region_profile", "region_borders", "colour_stats", "gradient", "majority_type", "role_runs", "resample", "painter_fold", "leave_one_out", "budget_limit", "props_json", "score_formulas", "coverage", "layer_documents"]
+FAST = ["edge_roles", "recall_formulas", "unique_concat", "duplicate_rings", "face_cap", "affine_sample", "face_cycles", "random_sample", "region_profile", "region_borders", "colour_stats", "gradient", "majority_type", "role_runs", "resample", "painter_fold", "leave_one_out", "budget_limit", "props_json", "score_formulas", "coverage", "layer_documents"]
 
 
 @pytest.mark.parametrize("name", FAST)
