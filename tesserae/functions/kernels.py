@@ -300,14 +300,12 @@ def stamp_mask(points: np.ndarray, size: int, left: float, top: float, width: fl
 
 
 def fill_polygon(points: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Pixels whose centre lies in a polygon, by the even-odd rule: every crossing of a row flips what lies to its right."""
     x0, y0 = points[:, 0], points[:, 1]
     x1, y1 = np.roll(x0, -1), np.roll(y0, -1)
-    out = np.zeros((h, w), bool)
-    centre = np.arange(w) + 0.5
-    for row in range(max(0, int(np.floor(y0.min()))), min(h, int(np.ceil(y0.max())) + 1)):
-        y = row + 0.5
-        hit = (y0 > y) != (y1 > y)
-        if hit.any():
-            cross = np.sort(x0[hit] + (y - y0[hit]) * (x1[hit] - x0[hit]) / (y1[hit] - y0[hit]))
-            out[row] = np.searchsorted(cross, centre) % 2 == 1
-    return out
+    y = np.arange(h) + 0.5
+    edge, row = np.nonzero((y0[:, None] > y) != (y1[:, None] > y))
+    cross = x0[edge] + (y[row] - y0[edge]) * (x1[edge] - x0[edge]) / (y1[edge] - y0[edge])
+    first = np.clip(np.floor(cross - 0.5).astype(np.int64) + 1, 0, w)
+    flips = np.bincount(row * (w + 1) + first, minlength=h * (w + 1)).reshape(h, w + 1)
+    return np.cumsum(flips[:, :w], 1) % 2 == 1

@@ -63,6 +63,14 @@ def neighbour_votes(pixels: DataFrame) -> DataFrame:
     return pixels.select("image_id", "y", "x", F.col("label").alias("own"), F.filter(sides, lambda s: s["label"] >= 0).alias("near"))
 
 
+def smooth_round(pixels: DataFrame) -> DataFrame:
+    """One parallel round of smoothing: a labelled pixel takes the label that it and its 4-neighbours have most, its own among equals."""
+    votes = neighbour_votes(pixels)
+    all_ = F.concat(F.array("own"), F.transform("near", lambda s: s["label"]))
+    each = F.transform(all_, lambda c, i: F.struct(F.size(F.filter(all_, lambda x: x == c)).alias("n"), (-i).alias("place"), c.alias("label")))
+    return votes.select("image_id", "y", "x", F.when(F.col("own") >= 0, F.array_max(each)["label"]).otherwise(F.col("own")).alias("label"))
+
+
 def fill_gaps_round(pixels: DataFrame) -> DataFrame:
     """One parallel round of gap filling: an unlabelled pixel takes the majority label of its neighbours, first side on ties."""
     votes = neighbour_votes(pixels).withColumn("v", F.explode_outer("near"))

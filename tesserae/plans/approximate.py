@@ -21,7 +21,8 @@ def approximate(pixels: DataFrame, palette: DataFrame, library: DataFrame, recip
         library = library.where(~F.col("asset_id").isin(*recipe.blocked))
     faces = depth.enclosing(stats.region_profile(pixels), pixels)
     order = depth.depth_order(faces, raster.border_lengths(pixels), (float(recipe.canvas), float(recipe.canvas)))
-    best = stamps.recall(stamps.region_features(pixels), stamps.stamp_features(library), recipe.recall)
+    # with effects, stamps that can carry a gradient are preferred
+    best = stamps.recall(stamps.region_features(pixels), stamps.stamp_features(library), recipe.recall, ["gradient_candidate"] if recipe.effects else None)
     laid = stamps.cover_regions(pixels, best, library, recipe.stamps_per_face, recipe.particles, recipe.min_cover)
     if recipe.angles:
         laid = laid.withColumn("angle", layers.nearest_angle(F.col("angle"), list(recipe.angles)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..operators import depth, halfedges, labels, layers, matching, paths, raster, regions, selection, stamps, stats
 from ..sources import documents, rasters
-from . import approximate
+from . import approximate, pictures
 from .recipe import recipe
 
 PALETTE = [(224, 32, 32), (32, 32, 224), (240, 220, 40), (40, 180, 80), (128, 128, 128), (20, 20, 20)]
@@ -403,9 +403,16 @@ def layer_documents(spark, d):
 
 
 def approximate_layers(spark, d):
-    px = rasters.formula_rasters(spark, {k: rasters.FORMULAS[k] for k in ("split64", "disk64", "quad48")})
+    px = rasters.formula_rasters(spark)
     fills = px.where("label >= 0").select("image_id", "label").distinct().withColumn("fill", color.rgb_to_hex(F.col("label") * 40, F.lit(90), F.lit(160)))
-    return approximate.approximate(px, fills, stamps.stamp_table(spark), recipe("logo", canvas=64, recall=3, particles=16))
+    return approximate.approximate(px, fills, stamps.stamp_table(spark), recipe("logo", canvas=64))
+
+
+def picture_scores(spark, d):
+    px = rasters.formula_rasters(spark).select("image_id", "y", "x", *[F.when(F.col("label") >= 0, 40 + F.col("label") * 60 + k).otherwise(0).alias(c) for k, c in enumerate("rgb")], F.when(F.col("label") >= 0, 1.0).otherwise(0.0).alias("alpha"))
+    run, library = recipe("logo", canvas=64), stamps.stamp_table(spark)
+    faces, stack = pictures.picture_stacks(px, library, run)
+    return pictures.score_stacks(stack, faces, library, run.canvas).select("doc_id", "n_layers", *[F.round(c, 4).alias(c) for c in ("cover", "leak", "iou", "colour_error", "similarity", "overall")], "passed")
 
 
 def recall_formulas(spark, d):

@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 
 @dataclass(frozen=True)
 class Recipe:
+    """``fit``, ``smoothing``, ``boundary``, ``colours`` and ``max_faces`` shape the label field; the rest the stack."""
+
     mode: str = "illustration"
     fit: str = "contain"
     smoothing: str = "medium"
@@ -27,6 +29,8 @@ class Recipe:
     def __post_init__(self) -> None:
         if self.fit not in ("contain", "cover") or self.boundary not in ("curve_fit", "dense"):
             raise ValueError("unknown fit or boundary policy")
+        if self.smoothing not in ("off", "weak", "medium", "strong") or self.max_faces < 1:
+            raise ValueError("unknown smoothing policy or no faces")
         if not 1 <= self.max_layers <= 40 or self.colours < 1 or self.canvas < 1:
             raise ValueError("a limit is out of range")
 
