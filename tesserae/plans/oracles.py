@@ -71,7 +71,7 @@ SELECT y, round(avg(e), 6) AS mean, round(max(e), 6) AS top, round(quantile_cont
     "visible_boundary": f"""WITH px AS ({VECTOR_RGB_SQL}), j AS (SELECT y, greatest({', '.join(f"abs(coalesce(lead({c}) OVER (PARTITION BY {p} ORDER BY {o}), {c}) - {c})" for c in 'rgb' for p, o in (('y', 'x'), ('x', 'y')))}) AS jump FROM px)
 SELECT y, count_if(jump > 28) AS boundary, max(jump) AS jump FROM j GROUP BY y""",
     "morphology": f"WITH {VALUES} SELECT y, CAST(sum(mask) AS BIGINT) AS kept FROM ({_frame('max', _frame('min', _frame('min', _frame('max', _MASK))))}) GROUP BY y",
-    "soft_sdf": f"WITH {FORMULA}, m AS (SELECT image_id, y, x, CAST(label >= 0 AS DOUBLE) AS sdf FROM lb WHERE image_id = 'disk64'), b1 AS ({_box('sdf', 'm')}), b2 AS ({_box('sdf', 'b1')}) SELECT y, x, round((0.5 - sdf) * 16.0 * sqrt(2 / 12.0), 6) AS sdf FROM b2",
+    "soft_sdf": f"WITH {FORMULA}, m AS (SELECT image_id, y, x, CAST(label >= 0 AS DOUBLE) AS sdf FROM lb), b1 AS ({_box('sdf', 'm')}), b2 AS ({_box('sdf', 'b1')}) SELECT image_id, y, x, round((0.5 - sdf) * 16.0 * sqrt(2 / 12.0), 6) AS sdf FROM b2",
     "laplacian": f"""WITH {VALUES}, w AS (SELECT y, value,
   coalesce(lag(value) OVER ox, last_value(value) OVER ax) AS l, coalesce(lead(value) OVER ox, first_value(value) OVER ax) AS r,
   coalesce(lag(value) OVER oy, last_value(value) OVER ay) AS u, coalesce(lead(value) OVER oy, first_value(value) OVER ay) AS n FROM v
@@ -137,9 +137,10 @@ SELECT h.l_orderkey, h.held AS idx, round(abs(f.c - coalesce(s.c, 0)) + 1.234e-7
 FROM h JOIN f USING (l_orderkey) LEFT JOIN s ON s.l_orderkey = h.l_orderkey AND s.held = h.held""",
     "budget_limit": f"WITH {LINES} SELECT * FROM (SELECT l_orderkey, idx, l_quantity, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY idx) AS running FROM n) WHERE running <= 60",
     "props_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, '{\"k\":' || CAST(json_extract(props, '$.k') AS INT) || '}' AS body FROM events",
-    "hex_normalise": """WITH r AS (SELECT doc_id, text[1:4] AS raw FROM documents UNION ALL SELECT event_id, '#' || md5(props)[1:3] FROM events), b AS (SELECT *, upper(ltrim(trim(raw, ' '), '#')) AS bare FROM r),
-f AS (SELECT *, '#' || CASE WHEN length(bare) = 3 THEN bare[1] || bare[1] || bare[2] || bare[2] || bare[3] || bare[3] ELSE bare END AS hex FROM b)
-SELECT doc_id, raw, CASE WHEN regexp_full_match(hex, '#[0-9A-F]{6}') THEN hex END AS hex FROM f""",
+    "hex_normalise": r"""WITH w AS (SELECT unnest(regexp_split_to_array(text, '[ \n\t]+')) AS raw FROM documents),
+r AS (SELECT raw FROM w WHERE regexp_full_match(raw, '#?[0-9A-Fa-f]{3,6}') UNION ALL SELECT '#' || md5(props)[1:3] FROM events), c AS (SELECT raw, count(*) AS n FROM r GROUP BY 1),
+b AS (SELECT *, upper(ltrim(trim(raw, ' '), '#')) AS bare FROM c), f AS (SELECT *, '#' || CASE WHEN length(bare) = 3 THEN bare[1] || bare[1] || bare[2] || bare[2] || bare[3] || bare[3] ELSE bare END AS hex FROM b)
+SELECT raw, CASE WHEN regexp_full_match(hex, '#[0-9A-F]{6}') THEN hex END AS hex, n FROM f""",
     "angles": """WITH e AS (SELECT event_id, CAST(event_id % 720 - 360 AS DOUBLE) AS a FROM events), f AS (SELECT *, a - 180 * floor(a / 180) AS m FROM e),
 g AS (SELECT event_id, arg_min(t, (abs((a - t + 180) - 360 * floor((a - t + 180) / 360) - 180), k)) AS near FROM f, (VALUES (0, 0.0::DOUBLE), (1, 30.0), (2, 45.0), (3, 90.0), (4, 180.0)) v(k, t) GROUP BY 1)
 SELECT event_id, CASE WHEN m >= 135 THEN 0.0::DOUBLE WHEN m >= 45 THEN 90.0 ELSE 0.0 END AS square, near FROM f JOIN g USING (event_id)""",

@@ -99,8 +99,8 @@ def morphology(spark, d):
 
 
 def soft_sdf(spark, d):
-    mask = rasters.formula_raster(spark, "disk64").select("image_id", "y", "x", (F.col("label") >= 0).cast("int").alias("mask"))
-    return raster.soft_sdf(mask, rounds=2).select("y", "x", F.round("sdf", 6).alias("sdf"))
+    mask = rasters.formula_rasters(spark).select("image_id", "y", "x", (F.col("label") >= 0).cast("int").alias("mask"))
+    return raster.soft_sdf(mask, rounds=2).select("image_id", "y", "x", F.round("sdf", 6).alias("sdf"))
 
 
 def laplacian(spark, d):
@@ -277,9 +277,9 @@ def props_json(spark, d):
 
 
 def hex_normalise(spark, d):
-    raw = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 4).alias("raw"))
-    made = raw.unionAll(read(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit("#"), F.substring(F.md5("props"), 1, 3)).alias("raw")))
-    return made.select("doc_id", "raw", color.normalise_hex(F.col("raw")).alias("hex"))
+    tokens = read(spark, d, "documents").select(F.explode(F.split("text", "[ \\n\\t]+")).alias("raw")).where(F.col("raw").rlike("^#?[0-9A-Fa-f]{3,6}$"))
+    made = tokens.unionAll(read(spark, d, "events").select(F.concat(F.lit("#"), F.substring(F.md5("props"), 1, 3)).alias("raw")))
+    return made.groupBy("raw").agg(F.count(F.lit(1)).alias("n")).select("raw", color.normalise_hex(F.col("raw")).alias("hex"), "n")
 
 
 def angles(spark, d):
