@@ -186,12 +186,40 @@ def recall(
     return top_k(scored, ["image_id", "label"], "score", "asset_id", n).select("image_id", "label", "asset_id", "score", "rank")
 
 
-def cover_regions(pixels: DataFrame, recalled: DataFrame, stamps: DataFrame, most: int = 5, particles: int = 32, least_cover: float = 0.9, seed: int = 0) -> DataFrame:
+#: Gains below which the first and a later stamp are not taken, and leaks above which they are not unless cover grows by the least.
+FIRST_GAIN, LATER_GAIN, FIRST_LEAK, LATER_LEAK, GROWTH = 0.08, 0.007, 0.72, 0.70, 0.02
+#: Poses of a step that are refined.
+REFINED = 3
+
+
+def outline_gap(a: np.ndarray, b: np.ndarray) -> float:
+    """Mean distance between the border pixels of two masks, both ways; the diagonal if one is empty."""
+
+    def border(mask: np.ndarray) -> np.ndarray:
+        p = np.pad(mask, 1)
+        return np.argwhere(mask & ~(p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]))
+
+    p, q = border(a), border(b)
+    if not len(p) or not len(q):
+        return math.hypot(*a.shape)
+    least_p, least_q = [], np.full(len(q), np.inf)
+    for k in range(0, len(p), 512):  # a bounded block of distances at a time
+        d = np.hypot(p[k : k + 512, 0][:, None] - q[:, 0], p[k : k + 512, 1][:, None] - q[:, 1])
+        least_p.append(d.min(1))
+        least_q = np.minimum(least_q, d.min(0))
+    return float(np.concatenate(least_p).mean() + least_q.mean()) / 2
+
+
+def cover_regions(
+    pixels: DataFrame, recalled: DataFrame, stamps: DataFrame, most: int = 5, particles: int = 32, least_cover: float = 0.9, seed: int = 0, refine: int = 3
+) -> DataFrame:
     """image_id, label, step, asset_id, left, top, width, height, angle, cover, leak: stamps laid greedily over every region.
 
     A region is one task's group: its mask, the outlines of its recalled
-    stamps, and poses drawn around it. Only chosen poses leave the task. Each
-    step takes the pose with the best gain of cover less what leaks.
+    stamps, and poses drawn around its largest uncovered part. The poses with
+    the best gain less leak are refined by ever smaller steps; of those that
+    pass the limits of gain and leak the one whose union has the nearest
+    outline, the best cover and the least leak is taken. Only chosen poses leave the task.
     """
     chosen = recalled.join(F.broadcast(stamps.select("asset_id", "rings")), "asset_id").select("image_id", "label", "asset_id", "rank", "rings")
 
@@ -202,36 +230,49 @@ def cover_regions(pixels: DataFrame, recalled: DataFrame, stamps: DataFrame, mos
         size = int(region.column("size")[0].as_py())
         target = np.zeros((size, size), bool)
         target[y, x] = True
+        area = int(target.sum())
         outlines = {c["asset_id"]: [np.array([(p["x"], p["y"]) for p in ring]) for ring in c["rings"]] for c in sorted(candidates.to_pylist(), key=lambda c: c["rank"])}
         rng = np.random.default_rng([seed, int(key[1].as_py()), size])
-        union, out = np.zeros_like(target), []
+        union, cover, gap, out = np.zeros_like(target), 0.0, math.inf, []
+
+        def tried(asset: str, pose: tuple, rest: np.ndarray) -> tuple[float, str, tuple, np.ndarray]:
+            m = np.logical_xor.reduce([k.stamp_mask(ring, size, *pose) for ring in outlines[asset]])  # inner rings are holes
+            return ((m & rest).sum() - 0.8 * (m & ~target).sum()) / area, asset, pose, m
+
         for step in range(most):
             rest = target & ~union
-            if rest.sum() < max(10, 0.015 * target.sum()):
+            if rest.sum() < max(10, 0.015 * area):
                 break
             parts = k.components4(np.where(rest, 0, -1))
-            largest = parts == np.bincount(parts[parts >= 0]).argmax()
-            ry, rx = np.nonzero(largest)
+            ry, rx = np.nonzero(parts == np.bincount(parts[parts >= 0]).argmax())
             w, h = np.ptp(rx) + 1, np.ptp(ry) + 1
+            found = []
+            for asset in outlines:
+                found.append(tried(asset, ((rx.min() + rx.max() + 1) / 2, (ry.min() + ry.max() + 1) / 2, float(w), float(h), 0.0), rest))
+                for n in range(1, particles):
+                    j = rng.normal(size=5)
+                    pose = (rx.mean() + 0.5 + 0.08 * w * j[0], ry.mean() + 0.5 + 0.08 * h * j[1], w * math.exp(0.15 * j[2]), h * math.exp(0.15 * j[3]), 90.0 * (n % 4) + 12 * j[4])
+                    found.append(tried(asset, pose, rest))
+            found = sorted(found, key=lambda f: -f[0])[:REFINED]
+            for turn in range(refine):
+                reach = 0.5 ** (turn + 1)
+                for n, (_, asset, (left, top, width, height, angle), _) in enumerate(found):
+                    for j in rng.normal(size=(8, 5)) * reach:
+                        near = tried(asset, (left + 0.06 * w * j[0], top + 0.06 * h * j[1], width * math.exp(0.1 * j[2]), height * math.exp(0.1 * j[3]), angle + 8 * j[4]), rest)
+                        found[n] = max(found[n], near, key=lambda f: f[0])
             best = None
-            for asset, rings in outlines.items():
-                for n in range(particles):
-                    jitter = rng.normal(size=5) if n else np.zeros(5)
-                    pose = (
-                        rx.mean() + 0.5 + jitter[0] * 0.08 * w if n else (rx.min() + rx.max() + 1) / 2, ry.mean() + 0.5 + jitter[1] * 0.08 * h if n else (ry.min() + ry.max() + 1) / 2,
-                        w * math.exp(0.15 * jitter[2]), h * math.exp(0.15 * jitter[3]), (90.0 * (n % 4) + 12 * jitter[4]) if n else 0.0,
-                    )
-                    m = np.logical_xor.reduce([k.stamp_mask(ring, size, *pose) for ring in rings])  # inner rings are holes
-                    gain = (m & rest).sum() / target.sum()
-                    leak = (m & ~target).sum() / max(m.sum(), 1)
-                    score = gain - 0.8 * leak * m.sum() / target.sum()
-                    if best is None or score > best[0] + 1e-12:
-                        best = (score, asset, pose, m)
-            if best is None or best[0] <= 0:
+            for _, asset, pose, m in found:
+                trial, gain = union | m, (m & rest).sum() / area
+                now, leak = (trial & target).sum() / area, (trial & ~target).sum() / max(trial.sum(), 1)
+                if gain < (LATER_GAIN if step else FIRST_GAIN) or (leak > (LATER_LEAK if step else FIRST_LEAK) and now < cover + GROWTH):
+                    continue
+                distance = outline_gap(trial, target)
+                order = (distance + 2.2 * (1 - now) + 0.8 * max(0.0, leak - 0.25), cover - now, leak)
+                if best is None or order < best[0]:
+                    best = (order, asset, pose, trial, now, leak, distance)
+            if best is None or (step and best[4] < cover + 1e-4 and best[6] > 0.995 * gap):
                 break
-            _, asset, pose, m = best
-            union |= m
-            cover, leak = (union & target).sum() / target.sum(), (union & ~target).sum() / max(union.sum(), 1)
+            _, asset, pose, union, cover, leak, gap = best
             out.append((key[0].as_py(), key[1].as_py(), step, asset, *map(float, pose), float(cover), float(leak)))
             if cover >= least_cover:
                 break

@@ -28,8 +28,13 @@ def approximate(pixels: DataFrame, palette: DataFrame, library: DataFrame, recip
         laid = laid.withColumn("angle", layers.nearest_angle(F.col("angle"), list(recipe.angles)))
     ranked = laid.join(order, ["image_id", "label"]).join(palette, ["image_id", "label"])
     idx = F.row_number().over(Window.partitionBy("image_id").orderBy("depth", "step")) - 1
-    return ranked.withColumn("idx", idx).where(F.col("idx") < recipe.max_layers).select(
-        F.col("image_id").alias("doc_id"), "idx", F.col("asset_id").alias("asset"), F.lit(1.0).alias("opacity"), "angle", F.lit(False).alias("flipX"),
+    return as_layers(ranked.withColumn("idx", idx).where(F.col("idx") < recipe.max_layers).withColumnRenamed("image_id", "doc_id"))
+
+
+def as_layers(laid: DataFrame) -> DataFrame:
+    """Laid stamps (doc_id, idx, asset_id, pose, fill) with the fields of a layer."""
+    return laid.select(
+        "doc_id", "idx", F.col("asset_id").alias("asset"), F.lit(1.0).alias("opacity"), "angle", F.lit(False).alias("flipX"),
         F.lit(False).alias("flipY"), "top", "left", "height", "width", "fill", F.lit(True).alias("selectable"),
     )
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.color import rgb_to_hex, rgb_to_lab
 from ..operators import components, halfedges, labels, layers, matching, raster, regions, selection, stamps, stats
 from ..sources.scratch import written
-from .approximate import approximate
+from .approximate import approximate, as_layers
 from .recipe import Recipe
 
 #: Rounds of 3x3 means of each smoothing policy.
@@ -79,7 +79,40 @@ def picture_stacks(pictures: DataFrame, library: DataFrame, recipe: Recipe) -> t
     faces = written(faces_of(written(canvas, "canvas"), recipe), "faces")
     level = lambda c: F.round(F.avg(c)).cast("int")
     palette = faces.where("label >= 0").groupBy("image_id", "label").agg(rgb_to_hex(level("r"), level("g"), level("b")).alias("fill"))
-    return faces, written(approximate(faces.select("image_id", "y", "x", "label"), palette, library, recipe), "stack")
+    stack = written(approximate(faces.select("image_id", "y", "x", "label"), palette, library, recipe), "stack")
+    return faces, repair_gaps(stack, faces, library, recipe)
+
+
+def repair_gaps(stack: DataFrame, faces: DataFrame, library: DataFrame, recipe: Recipe, rounds: int = 2, least: int = 10) -> DataFrame:
+    """``stack`` with further layers over what it leaves bare of its faces, in their colours, within the budget of layers.
+
+    A round draws the stack, takes the bare pixels of each face (at least
+    ``least`` of them) as a region and covers it by the same search; it ends when nothing is bare or laid.
+    """
+    features = written(stamps.stamp_features(library), "features")
+    level = lambda c: F.round(F.avg(c)).cast("int")
+    fills = faces.where("label >= 0").groupBy("image_id", "label").agg(rgb_to_hex(level("r"), level("g"), level("b")).alias("fill"))
+    for n in range(rounds):
+        drawn = stamps.render_layers(stack, library, recipe.canvas).where("a >= 0.5").select(F.col("doc_id").alias("image_id"), "y", "x").distinct()
+        bare = faces.where("label >= 0").select("image_id", "label", "y", "x").join(drawn, ["image_id", "y", "x"], "left_anti")
+        enough = bare.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
+        bare = written(bare.join(enough, ["image_id", "label"], "left_semi"), "bare")
+        if bare.isEmpty():
+            break
+        # the canvas's last pixel keeps the mask of a region as large as the canvas
+        whole = faces.select("image_id", "y", "x").join(bare.withColumnRenamed("label", "bare"), ["image_id", "y", "x"], "left").withColumn("label", F.coalesce("bare", F.lit(-1)))
+        best = stamps.recall(stamps.region_features(whole), features, recipe.recall)
+        laid = stamps.cover_regions(whole, best, library, 2, max(8, recipe.particles // 3), recipe.min_cover, seed=n + 1)
+        if recipe.angles:
+            laid = laid.withColumn("angle", layers.nearest_angle(F.col("angle"), list(recipe.angles)))
+        highest = stack.groupBy("doc_id").agg((F.max("idx") + 1).alias("first"))
+        added = laid.join(fills, ["image_id", "label"]).withColumnRenamed("image_id", "doc_id").join(highest, "doc_id", "left")
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("label", "step")) - 1 + F.coalesce("first", F.lit(0))
+        added = as_layers(added.withColumn("idx", place).where(F.col("idx") < recipe.max_layers))
+        before, stack = stack.count(), written(stack.unionByName(added), "repaired")
+        if stack.count() == before:
+            break
+    return stack
 
 
 def score_stacks(stack: DataFrame, faces: DataFrame, library: DataFrame, canvas: int, gates: tuple[float, float, float] = matching.RECIPE_GATES) -> DataFrame:
