@@ -44,6 +44,21 @@ def shoelace(points: DataFrame, by: str, pos: str) -> DataFrame:
     return rows.groupBy(by).agg(F.sum("cross").alias("area"), F.sum("side").alias("perimeter"), F.count(F.lit(1)).alias("n"))
 
 
+def match_area(points: DataFrame, targets: DataFrame, by: str, pos: str, within: float = 0.03, most: float = 0.15) -> DataFrame:
+    """by, pos, x, y, scale: each closed ring scaled about the mean of its points until its area is that of ``targets`` (by, target).
+
+    Areas go with the square of the scale, so no search is needed. Rings whose
+    area is off by at most ``within`` stay; a scale changes by ``most`` at most.
+    """
+    facts = shoelace(points, by, pos).select(by, F.abs("area").alias("area"))
+    middle = points.groupBy(by).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    off = F.abs(F.col("area") - F.col("target")) / F.greatest(F.col("target"), F.lit(1e-9))
+    wanted = F.least(F.greatest(F.sqrt(F.col("target") / F.greatest(F.col("area"), F.lit(1e-9))), F.lit(1 - most)), F.lit(1 + most))
+    scales = targets.join(facts, by).join(middle, by).select(by, "cx", "cy", F.when(off <= within, 1.0).otherwise(wanted).alias("scale"))
+    at = lambda c: (F.col(f"c{c}") + F.col("scale") * (F.col(c) - F.col(f"c{c}"))).alias(c)
+    return points.join(scales, by).select(by, pos, at("x"), at("y"), "scale")
+
+
 def turn_angles(points: DataFrame, by: str, pos: str) -> DataFrame:
     """by, pos, turn: the turn at every vertex of the closed ring, wrapped to [-pi, pi)."""
     import math

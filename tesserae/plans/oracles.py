@@ -46,6 +46,17 @@ def _frame(kind: str, table: str) -> str:
 _MASK = "SELECT image_id, y, x, CAST(value > 0 AS INT) AS mask FROM v"
 _CLIP = "least(greatest({}, 0.0), 1.0)".format
 
+
+def _components(table: str) -> str:
+    """CTEs up to ``cc`` (image_id, y, x, root): 4-connected pixels of ``table`` (image_id, y, x, v) with v >= 0; root is the place of the first one."""
+    return f"""st AS (SELECT *, CAST(v IS DISTINCT FROM lag(v) OVER w OR lag(x) OVER w IS DISTINCT FROM x - 1 AS INT) AS s FROM {table} WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
+rn AS (SELECT *, max(CASE WHEN s = 1 THEN y * 100000 + x END) OVER (PARTITION BY image_id, y ORDER BY x) AS run FROM st WHERE v >= 0),
+ed AS (SELECT DISTINCT a.image_id, a.run AS p, b.run AS q FROM rn a JOIN rn b ON b.image_id = a.image_id AND b.y = a.y + 1 AND b.x = a.x AND b.v = a.v),
+bd AS (SELECT * FROM ed UNION ALL SELECT image_id, q, p FROM ed),
+rc(image_id, run, seen) AS (SELECT DISTINCT image_id, run, run FROM rn UNION SELECT rc.image_id, rc.run, bd.q FROM rc JOIN bd ON bd.image_id = rc.image_id AND bd.p = rc.seen),
+rt AS (SELECT image_id, run, min(seen) AS root FROM rc GROUP BY 1, 2), cc AS (SELECT rn.image_id, rn.y, rn.x, root FROM rn JOIN rt USING (image_id, run))"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "region_profile": f"WITH {LABELLED} {PROFILE}",
     "region_borders": f"WITH {LABELLED}, {BORDER_CTE} SELECT * FROM bo",
@@ -213,4 +224,16 @@ q AS (SELECT *, lead(r) OVER (PARTITION BY image_id, x ORDER BY y) AS dr FROM n)
 SELECT image_id, face, count(*) - count_if(r = face) - count_if(d = face) + count_if(r = face AND d = face AND dr = face) AS euler,
   count_if(u IS DISTINCT FROM face) + count_if(d IS DISTINCT FROM face) + count_if(l IS DISTINCT FROM face) + count_if(r IS DISTINCT FROM face) AS length, count(*) AS pixels
 FROM q WHERE face >= 0 GROUP BY 1, 2""",
+    "component_sizes": f"""WITH RECURSIVE {FORMULA}, t AS (SELECT image_id, y, x, label AS v FROM lb), {_components('t')}
+SELECT image_id, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY root) - 1 AS INT) AS component, count(*) AS pixels, min(y) AS y0, min(x) AS x0 FROM cc GROUP BY image_id, root""",
+    "vector_components": f"""WITH RECURSIVE {VALUES}, t AS (SELECT image_id, y, x, CASE WHEN value > 0.15 THEN 0 ELSE -1 END AS v FROM v), {_components('t')},
+n AS (SELECT root, count(*) AS pixels FROM cc GROUP BY 1) SELECT pixels, count(*) AS components FROM n GROUP BY 1""",
+    "hole_sizes": f"""WITH RECURSIVE {FORMULA}, t AS (SELECT image_id, y, x, CASE WHEN label = 0 THEN -1 ELSE 0 END AS v FROM lb), {_components('t')}, d AS (SELECT image_id, max(y) AS h, max(x) AS w FROM lb GROUP BY 1),
+n AS (SELECT image_id, root, count(*) AS pixels FROM cc JOIN d USING (image_id) GROUP BY 1, 2 HAVING NOT bool_or(y = 0 OR x = 0 OR y = h OR x = w))
+SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY pixels DESC, root) - 1 AS INT) AS hole, pixels FROM n""",
+    "planar_problems": f"WITH {FORMULA} SELECT image_id, count(DISTINCT label) AS faces, CAST(0 AS BIGINT) AS problems FROM lb WHERE label >= 0 GROUP BY 1",
+    "area_match": f"""WITH {PATHS}, q AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+a AS (SELECT user_id, abs(sum(0.5 * (x * ny - nx * y))) AS area, avg(x) AS cx, avg(y) AS cy, sum(y) * (1 + user_id % 3) AS target FROM q GROUP BY user_id),
+k AS (SELECT *, CASE WHEN abs(area - target) / greatest(target, 1e-9) <= 0.03 THEN 1.0 ELSE least(greatest(sqrt(target / greatest(area, 1e-9)), 0.85), 1.15) END AS scale FROM a)
+SELECT p.user_id, CAST(pos AS INT) AS pos, round(cx + scale * (x - cx) + 1.234e-7, 6) AS x, round(cy + scale * (y - cy) + 1.234e-7, 6) AS y, round(scale + 1.234e-7, 6) AS scale FROM p JOIN k USING (user_id)""",
 }

@@ -500,3 +500,10 @@ def face_cycles(spark, d):
     # outlines less holes is the Euler number of a face, which can be counted without a walk
     euler = F.count_if(F.col("area") > 0) - F.count_if(F.col("area") < 0)
     return found.groupBy("image_id", "face").agg(euler.alias("euler"), F.sum("length").alias("length"), F.sum("area").cast("long").alias("pixels"))
+
+
+def area_match(spark, d):
+    p = _paths(spark, d)
+    targets = p.groupBy("user_id").agg((F.sum("y") * (1 + F.col("user_id") % 3)).alias("target"))
+    out = paths.match_area(p, targets, "user_id", "pos")
+    return _off_tie(out.select("user_id", "pos", "x", "y", "scale"), "x", "y", "scale")
