@@ -4,7 +4,7 @@ Maximum-likelihood estimates of all orders are mixed; the weights depend on how
 often the context was seen and are learned by expectation-maximisation on
 tokens whose own counts were deleted from the estimates.
 
-Documents are packed into bundles of about two million tokens. A bundle sends
+Documents are packed into bundles of some 1.6 million tokens. A bundle sends
 each distinct n-gram once, in sorted blocks by hash range, and gets the
 corpus-wide counts back in the same order, so that what is exchanged follows
 the distinct n-grams and no frequent one makes a hot key. Up to ``FAN`` bundles
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from .shingles import Shingler, mix, pack, unpack
 #: Longest n-gram.
 ORDER = 3
 #: Tokens of a bundle, and those whose n-grams meet in one task; bundles that meet directly.
-BUNDLE_TOKENS, SLOT_TOKENS, FAN = 2_000_000, 500_000, 256
+BUNDLE_TOKENS, SLOT_TOKENS, FAN = 1_600_000, 400_000, 256
 #: Documents with this remainder are held out; with the next one, deleted counts teach the weights.
 FOLDS, HELD_OUT, TUNING = 10, 0, 1
 EM_STEPS = 60
@@ -263,13 +264,17 @@ def corpus_counts(bundles: DataFrame, order: int, tokens: int, bits: int, fan: i
     return exchange(blocks, groups, ranges, order, bits, fan)
 
 
-def _with_counts(bundle: pa.Table, counts: pa.Table, order: int, bits: int) -> tuple[Bundle, list[np.ndarray], list[np.ndarray]]:
+def _with_counts(bundle: pa.Table, counts: pa.Table, order: int, bits: int, parts: tuple[str, ...]) -> tuple[Bundle, list[np.ndarray]]:
+    """A bundle and, for each order, the corpus-wide counts of its keys, summed over ``parts``; one order is unpacked at a time."""
     row = bundle.to_pylist()[0]
     b = Bundle(row["doc_ids"], row["sizes"], row["vocabulary"], row["tokens"], order, bits)
-    rows = sorted(counts.select(["n", "rng", "main", "tuning"]).to_pylist(), key=lambda r: (r["n"], r["rng"]))
-    got = [[np.concatenate([unpack(r[c], np.int64) for r in rows if r["n"] == n]) for n in range(1, order + 1)] for c in ("main", "tuning")]
-    assert all(len(g) == len(k) for g, k in zip(got[0], b.keys))
-    return b, got[0], got[1]
+    found = []
+    for n in range(1, order + 1):
+        rows = sorted(counts.filter(pc.equal(counts.column("n"), n)).select(["rng", *parts]).to_pylist(), key=lambda r: r["rng"])
+        found.append(np.concatenate([sum(unpack(r[c], np.int64) for c in parts) for r in rows]))
+        assert len(found[-1]) == len(b.keys[n - 1])
+        b.keys[n - 1] = None  # what is left to do goes by place
+    return b, found
 
 
 def learn_weights(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -331,7 +336,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, fan: int = FAN) -> Data
     uniform = 1 / (vocabulary + 1)
 
     def cells_of(key: tuple, bundle: pa.Table, found: pa.Table) -> pa.Table:
-        b, main, _ = _with_counts(bundle, found, order, bits)
+        b, main = _with_counts(bundle, found, order, bits, ("main",))
         columns = [b.buckets(main, main_docs)]
         for n in range(1, order + 1):
             with np.errstate(divide="ignore"):
@@ -357,9 +362,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, fan: int = FAN) -> Data
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(key: tuple, bundle: pa.Table, found: pa.Table) -> pa.Table:
-        b, main, tuning = _with_counts(bundle, found, order, bits)
-        whole = [x + y for x, y in zip(main, tuning)]
-        del main, tuning
+        b, whole = _with_counts(bundle, found, order, bits, ("main", "tuning"))
         c = whole[0][b.place[0]]
         by_doc = lambda x: np.add.reduceat(x, b.start)
         known, base = by_doc((c > 0).astype(np.int64)), by_doc(np.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1))))
