@@ -11,9 +11,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import components, embeddings, exact_dedup, jaccard, lm, quality
+from tesserae.llm import components, embeddings, exact_dedup, jaccard, lm, mixing, quality
 
 DOCS = "doc_id long, text string"
+SOURCED = f"{DOCS}, source string"
 
 
 def ascii_words(text):
@@ -51,6 +52,35 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_groups(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("spread", ["0L", "pmod(xxhash64(block), 3)"])
+def test_exact_dedup_when_spreads_tie(spark, monkeypatch, spread):
+    """Blocks that share what they are sorted by first are still told apart."""
+    monkeypatch.setattr(exact_dedup, "spread_of", lambda block: F.expr(spread))
+    rng = random.Random(4)
+    rows = [(k, "".join(rng.choice("ab") for _ in range(rng.choice([0, 3, 9, 20]))), "s") for k in range(120)]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, SOURCED).repartition(5), 4).collect()}
+    groups = collections.defaultdict(list)
+    for k, t, _ in rows:
+        groups[t].append(k)
+    assert got == {k: (min(groups[t]), len(groups[t])) for k, t, _ in rows}
+
+
+ODD = ["a.b", "_id", "_sha", "row", "id", "from", "hash", "copy", "words", "chars", "place", "keep_id", "unnamed", "text_hash", "rated", "size", "taken", "`q`"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six", "s"), (1, "one two three four five six", "s"), (None, None, None), (2, "", "s"), (3, "alpha beta gamma delta", "t"), (4, " alpha beta\ngamma delta", "t"), (5, "word " * 30_000, "u")]
+    docs = spark.createDataFrame(rows, SOURCED).select("*", *[F.lit(k).alias(c) for k, c in enumerate(ODD)])
+    model = quality.OrdinalModel(np.zeros(1 << quality.FEATURE_BITS, np.float32), np.array([-40.0, -40.0]))
+    for stage in (exact_dedup.drop_exact, jaccard.drop_near, mixing.mix_documents, lambda d: quality.rate(d, model).select(*[F.col("`" + c.replace("`", "``") + "`") for c in d.columns])):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r[len(docs.columns) - len(ODD) :] == tuple(range(len(ODD))) for r in found)
+        assert stage(docs.where("false")).count() == 0
+    assert sorted(r.doc_id or 0 for r in exact_dedup.drop_exact(docs).collect()) == [1, 2, 4, 5]
+
+
 def brute_jaccard(rows, width, percent):
     sets, root = {}, {}
     for i, t in rows:
@@ -380,3 +410,20 @@ def test_pipeline_stages(spark):
             assert {r.doc_id for r in docs.collect()} == {root for _, root in want.values()}
     out = p.STAGES[-1][1](spark, docs, sf)
     assert out.count() == docs.count()
+
+
+def test_pipeline_odd_rows(spark):
+    """Nulls, repeated rows, empty texts, ties and a clashing column go through all five stages; an empty table stays empty."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    some = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
+    nothing = some.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in some.schema])
+    blank = some.limit(2).withColumn("text", F.lit(" \n "))
+    docs = some.unionAll(some.where("doc_id < 5")).unionAll(nothing).unionAll(nothing).unionAll(blank).withColumn("row", F.lit(9))
+    for start in (docs, docs.where("false")):
+        now = start
+        for name, stage in p.STAGES:
+            now = p.materialise(stage(spark, now, sf), "test")
+            assert name == p.STAGES[-1][0] or now.columns == docs.columns
+        assert (now.count() > 0) == (start is docs)
