@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialise(e, "edges")
     state = None
     while True:
-        e = materialise(_star(_star(e, True), False), "stars")
+        done, e = e, materialise(_star(_star(e, True), False), "stars")
+        discard(done)
         seen = e.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.sum(F.hash("u", "v"))).first()
         if seen == state:
             break

@@ -47,7 +47,8 @@ LEAST_SHRINK = 0.7
 #: Tiles of a large region whose parities are compared pair by pair.
 PARITY_TILES = 64
 #: Counters of the frequency sketch, as powers of two: as many as the input asks for, within these.
-LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 18, 26
+#: Below the least, a sketch is so much smaller than what its tasks count that the exchange would grow faster than the input.
+LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 24, 26
 #: Rows of the sketch that one task adds up.
 SKETCH_FAN = 64
 _OTHER = np.uint64(0x5851F42D4C957F2D)
@@ -125,15 +126,16 @@ def sketch_bits(docs: DataFrame) -> int:
     """
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size > 1 << 60:  # what is not in files has no known size
-        size = 1 << 28
+        return LEAST_SKETCH_BITS
     return max(LEAST_SKETCH_BITS, min(MOST_SKETCH_BITS, size.bit_length() - 5))
 
 
 def frequency_levels(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     """Half octaves of how many documents have the shingles of each counter, over all documents.
 
-    A byte for each counter for the driver and every task (64 MB at most). They
-    only order shingles; any order is exact. Parts are added up as a tree, so no
+    A byte for each counter for the driver and every task (64 MB at most); a
+    task counts up to 255 documents, the sum over tasks goes on. They only order
+    shingles; any order is exact. Parts are added up as a tree, so no
     task holds more than ``SKETCH_FAN`` rows of a part, however many tasks there are.
     """
     chunk = 1 << max(bits - 6, 0)
@@ -141,10 +143,11 @@ def frequency_levels(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shingler, counts = Shingler(width), np.zeros(1 << bits, np.uint32)
+        shingler, counts = Shingler(width), np.zeros(1 << bits, np.uint8)
         for batch in batches:
             for text in batch.column("text"):
-                np.add.at(counts, _counter(shingler.of(text.as_py()), bits), 1)
+                at = _counter(shingler.of(text.as_py()), bits)
+                counts[at] = np.minimum(counts[at], 254) + 1
         lane = TaskContext.get().partitionId()
         for k, a in enumerate(range(0, len(counts), chunk)):
             some = counts[a : a + chunk].astype(np.uint64)
