@@ -57,9 +57,8 @@ TITLES = {
 #: What introduces a person by name.
 INTRODUCED = ("My name is", "my name is", "Name:", "name:", "Signed by", "signed by")
 _WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
-NAME = re.compile(
-    r"(?<!\w)(?:(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.?|" + "|".join(INTRODUCED) + rf") (?=({_WORD}(?: {_WORD}){{0,2}}))"
-)
+INTRODUCTION = re.compile("(?<!\\w)(?:" + "|".join(INTRODUCED) + rf") (?=({_WORD}(?: {_WORD}){{0,2}}))")
+AFTER_TITLE = re.compile(rf"\.? (?=({_WORD}(?: {_WORD}){{0,2}}))")
 #: Common given names that are no common words, by gender.
 GIVEN = {
     "m": "John James Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Paul Andrew Kenneth Kevin Brian "
@@ -71,7 +70,11 @@ GIVEN = {
 }
 GENDER_OF = {name.casefold(): gender for gender, names in GIVEN.items() for name in names.split()}
 _UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ"
-CAPITALISED = re.compile(rf"(?<!\w)([{_UPPER}][^\W\d_]+)((?: [{_UPPER}][^\W\d_]*(?:[-'’][^\W\d_]+)*){{1,2}})(?!\w)")
+#: A word that may be a form of address or a given name.
+CAPITAL = re.compile(rf"(?<!\w)[{_UPPER}г][^\W\d_]*(?:-[^\W\d_]+)?")
+AFTER_GIVEN = re.compile(rf"(?: [{_UPPER}][^\W\d_]*(?:[-'’][^\W\d_]+)*){{1,2}}(?!\w)")
+#: What a text must have in lower case for ``SECRET`` to find anything.
+SECRET_SIGNS = ("password", "passwd", "pwd", "secret", "api", "access", "token", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-")
 KEPT_DOMAINS = re.compile(r"(?:^|\.)(?:example\.(?:com|net|org)|gmail\.com|googlemail\.com|yahoo\.\w+|hotmail\.\w+|outlook\.\w+|icloud\.com|gmx\.\w+|web\.de|aol\.com|protonmail\.com)$")
 #: Syllables and endings by script and gender (n: either).
 SYLLABLES = {
@@ -99,32 +102,41 @@ def _may_be_name(word: str) -> bool:
     return (word[0].isupper() or word[0].upper() == word[0].lower()) and word not in TITLES
 
 
+def _named(words: str, at: int, gender: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, gender, word) of the names among ``words``, which stand at ``at``."""
+    parts = []
+    for word in words.split(" "):
+        if not _may_be_name(word):
+            break
+        parts.append(word)
+        if not word[0].isupper():
+            break  # without capitals nothing says where a name ends
+    for k, word in enumerate(parts):
+        # the last of several names is a surname, which has no gender of its own
+        yield at, at + len(word), gender if k < max(len(parts) - 1, 1) else "n", word
+        at += len(word) + 1
+
+
 def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, gender, word) of names that their surroundings tell."""
-    for m in NAME.finditer(text):
-        at, parts = m.start(2), []
-        for word in m[2].split(" "):
-            if not _may_be_name(word):
-                break
-            parts.append(word)
-            if not word[0].isupper():
-                break  # without capitals nothing says where a name ends
-        for k, word in enumerate(parts):
-            # the last of several names is a surname, which has no gender of its own
-            gender = TITLES.get(m[1], "n") if k < max(len(parts) - 1, 1) else "n"
-            yield at, at + len(word), gender, word
-            at += len(word) + 1
-    for m in CAPITALISED.finditer(text):
-        if (gender := GENDER_OF.get(m[1].casefold())) is None or (m[1].isupper() and len(m[1]) > 1):
-            continue
-        if m[2].split()[0].casefold() == m[1].casefold():
-            continue
-        yield m.start(1), m.end(1), gender, m[1]
-        at = m.start(2) + 1
-        for word in m[2].split():
-            if word not in TITLES:
-                yield at, at + len(word), "n", word
-            at += len(word) + 1
+    for m in CAPITAL.finditer(text):
+        word = m[0]
+        if word in TITLES:
+            if after := AFTER_TITLE.match(text, m.end()):
+                yield from _named(after[1], after.start(1), TITLES[word])
+        elif (gender := GENDER_OF.get(word.casefold())) is not None and not (word.isupper() and len(word) > 1):
+            after = AFTER_GIVEN.match(text, m.end())
+            if after is None or after[0].split()[0].casefold() == word.casefold():
+                continue
+            yield m.start(), m.end(), gender, word
+            at = m.end() + 1
+            for surname in after[0].split():
+                if surname not in TITLES:
+                    yield at, at + len(surname), "n", surname
+                at += len(surname) + 1
+    if any(phrase in text for phrase in INTRODUCED):
+        for m in INTRODUCTION.finditer(text):
+            yield from _named(m[1], m.start(1), "n")
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -137,7 +149,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         for m in EMAIL.finditer(text):
             add(0, *m.span(), "email", m[0].lower())
-    for m in SECRET.finditer(text):
+    folded = text.lower()
+    for m in SECRET.finditer(text) if any(sign in folded for sign in SECRET_SIGNS) else ():
         span = m.span(1) if m[1] else m.span()
         # a value of letters alone is one only if it is set with an equals sign or a quote: prose follows colons too
         if m[1] is None or re.search(r"\d", m[1]) or _secret_head(m[1]) or re.search(r"[=\"']", text[m.start() : span[0]]):
