@@ -81,7 +81,7 @@ def angle_histogram(angles: DataFrame, by: list[str], angle: str, bins: int = 24
     """Share of angles in each of ``bins`` equal parts of [-pi, pi]; the upper end belongs to the last."""
     import math
 
-    part = F.least(F.width_bucket(F.col(angle), F.lit(-math.pi), F.lit(math.pi), F.lit(bins)), F.lit(bins))
+    part = F.least(F.floor((F.nanvl(F.col(angle), F.lit(None)) + math.pi) / (2 * math.pi / bins)) + 1, F.lit(bins))
     counted = angles.groupBy(*by, part.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 

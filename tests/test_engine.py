@@ -189,6 +189,23 @@ def test_empty_inputs(spark):
     assert labels.fill_gaps_round(px).count() == 0
 
 
+def test_turns_at_the_edges_of_bins(spark):
+    rings = [(u, k, float(k), round(k * (u + 1) * 0.11, 2)) for u in range(400) for k in range(5)]
+    turns = paths.turn_angles(spark.createDataFrame(rings, "by long, pos int, x double, y double").repartition(3), "by", "pos")
+    got = {r.bin: r.n for r in stats.angle_histogram(turns.withColumn("all", F.lit(1)), ["all"], "turn").collect()}
+    want: dict[int, int] = {}
+    for u in range(400):
+        ring = [r[2:] for r in rings[5 * u : 5 * u + 5]]
+        for (bx, by), (x, y), (nx, ny) in zip(ring[-1:] + ring, ring, ring[1:] + ring[:1]):
+            t = math.atan2(ny - y, nx - x) - math.atan2(y - by, x - bx) + math.pi
+            t = t - 2 * math.pi * math.floor(t / (2 * math.pi)) - math.pi
+            b = min(math.floor((t + math.pi) / (2 * math.pi / 24)) + 1, 24)
+            want[b] = want.get(b, 0) + 1
+    assert got == want
+    odd = stats.angle_histogram(spark.sql("SELECT 1 AS all, t FROM VALUES (CAST('NaN' AS DOUBLE)), (NULL), (pi()), (-pi()) AS v(t)"), ["all"], "t")
+    assert {r.bin: r.n for r in odd.collect()} == {1: 1, 24: 3}
+
+
 FAST = ["edge_roles", "recall_formulas", "unique_concat", "duplicate_rings", "face_cap", "affine_sample", "face_cycles", "random_sample", "region_profile", "region_borders", "colour_stats", "gradient", "majority_type", "role_runs", "resample", "painter_fold", "leave_one_out", "budget_limit", "props_json", "score_formulas", "coverage", "layer_documents"]
 
 
