@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .paths import libm_atan2
 from .raster import border_lengths
 
 
@@ -52,10 +53,15 @@ def global_mode(pixels: DataFrame, label: str = "label") -> DataFrame:
 
 
 def polar_order(points: DataFrame, by: str, tie: str) -> DataFrame:
-    """``points`` (by, x, y) with angle around their centroid and place in its order."""
+    """``points`` (by, x, y) with angle around their centroid and place in its order.
+
+    The centroid is summed in the order of ``tie``, so that reruns agree however rows arrive.
+    """
     whole = Window.partitionBy(by)
-    angle = F.atan2(F.col("y") - F.avg("y").over(whole), F.col("x") - F.avg("x").over(whole))
-    return points.withColumn("angle", angle).withColumn("place", F.row_number().over(whole.orderBy("angle", tie)))
+    summed = whole.orderBy(tie).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    off = points.withColumns({"_dy": F.col("y") - F.avg("y").over(summed), "_dx": F.col("x") - F.avg("x").over(summed)})
+    angled = off.withColumn("angle", libm_atan2("_dy", "_dx")).drop("_dy", "_dx")
+    return angled.withColumn("place", F.row_number().over(whole.orderBy("angle", tie)))
 
 
 def duplicate_rings(rings: DataFrame, distance: float = 3.0, least_ratio: float = 0.7) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import color, kernels
-from tesserae.operators import components, depth, halfedges, labels, layers, matching, paths, raster, regions, stamps, stats
+from tesserae.operators import components, depth, halfedges, labels, layers, matching, paths, raster, regions, selection, stamps, stats
 from tesserae.plans import registry
 from tesserae.sources import documents, rasters
 
@@ -206,6 +206,21 @@ def test_turns_at_the_edges_of_bins(spark):
     assert {r.bin: r.n for r in odd.collect()} == {1: 1, 24: 3}
 
 
+def test_polar_order_does_not_depend_on_how_rows_arrive(spark):
+    rng = np.random.default_rng(3)
+    y = np.round(rng.uniform(-1, 1, 400) * 10.0 ** rng.integers(-3, 16, 400), 3).tolist()
+    total = 0.0
+    for v in y:
+        total += v
+    mean = total / len(y)
+    angle = [math.atan2(v - mean, k - (len(y) - 1) / 2) for k, v in enumerate(y)]
+    want = {k: (angle[k], place) for place, k in enumerate(sorted(range(len(y)), key=lambda k: (angle[k], k)), 1)}
+    rows = [(1, k, float(k), v) for k, v in enumerate(y)]
+    for seed in (1, 2):
+        mixed = spark.createDataFrame([rows[k] for k in np.random.default_rng(seed).permutation(len(y))], "by long, pos int, x double, y double")
+        assert {r.pos: (r.angle, r.place) for r in selection.polar_order(mixed, "by", "pos").collect()} == want
+
+
 FAST = ["edge_roles", "recall_formulas", "unique_concat", "duplicate_rings", "face_cap", "affine_sample", "face_cycles", "random_sample", "region_profile", "region_borders", "colour_stats", "gradient", "majority_type", "role_runs", "resample", "painter_fold", "leave_one_out", "budget_limit", "props_json", "score_formulas", "coverage", "layer_documents"]
 
 
