@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,20 +68,95 @@ def polar_order(points: DataFrame, by: str, tie: str) -> DataFrame:
     return angled.withColumn("place", F.row_number().over(whole.orderBy("angle", tie)))
 
 
+#: The smaller of two areas is nil below this, and they are alike.
+NIL_AREA = 1e-6
+
+
+def _least_in_span(area: np.ndarray, ring: np.ndarray, asked: np.ndarray, least_ratio: float) -> np.ndarray:
+    """For every area of ``asked`` the smallest ``ring`` whose ``area`` is alike, None without one; no nil areas."""
+    order = np.argsort(area, kind="stable")
+    area, table = area[order], [ring[order]]
+    while (step := 1 << (len(table) - 1)) * 2 <= len(area):
+        table.append(np.minimum(table[-1][:-step], table[-1][step:]))
+    # the outermost doubles that still pass the comparison of quotients, which is monotone
+    low, high = asked * least_ratio, asked / least_ratio
+    with np.errstate(invalid="ignore", over="ignore"):
+        for _ in range(4):
+            low, high = np.nextafter(low, -np.inf), np.nextafter(high, np.inf)
+        for _ in range(9):
+            low = np.where(low / asked >= least_ratio, low, np.nextafter(low, np.inf))
+            high = np.where(asked / high >= least_ratio, high, np.nextafter(high, -np.inf))
+    low, high = np.where(np.isinf(asked), np.inf, low), np.where(np.isinf(asked), np.inf, high)
+    i, j = np.searchsorted(area, low, "left"), np.searchsorted(area, high, "right")
+    found = np.full(len(asked), None, object)
+    for level, least in enumerate(table):
+        here = (j - i >= 1 << level) & (j - i < 2 << level)
+        found[here] = np.minimum(least[i[here]], least[j[here] - (1 << level)])
+    return found
+
+
 def duplicate_rings(rings: DataFrame, distance: float = 3.0, least_ratio: float = 0.7) -> DataFrame:
     """``rings`` (image_id, ring, cx, cy, area) that have an earlier near-duplicate: centroids within ``distance``, areas alike.
 
-    Areas are alike if the smaller is ``least_ratio`` of the larger or one is nil. Centroids meet by grid cells, not in pairs.
+    Areas are alike if the smaller is ``least_ratio`` of the larger or one is nil; an unknown area is like any known one.
+
+    If any duplicate is earlier, so is the smallest of all, which a ring shares with its likes. So distinct centroids meet by
+    grid cells, rings of one centroid and one narrow range of areas are one group, and groups meet instead of rings. Only where
+    some areas of two groups are alike and others not are rings looked up, by binary search in the sorted areas of the other group.
+    Work grows with the pairs of distinct centroids within ``distance``, not with the pairs of rings.
     """
-    cell = lambda c: F.floor(F.col(c) / distance)
-    here = rings.select("image_id", F.col("ring").alias("ring_a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("area").alias("a"), cell("cx").alias("i"), cell("cy").alias("j"))
+    # two areas of one range are always alike, and those of ranges more than three apart never
+    width = math.inf if least_ratio <= 0 else max(-math.log(min(least_ratio, 1.0)) / 2, 1e-9)
+    spot = ["image_id", "cx", "cy"]
+    area = F.abs("area").cast("double")
+    wild = F.isnan(area) | (area < NIL_AREA)
+    kind = F.when(area.isNull(), "unknown").when(wild, "wild").otherwise("plain")
+    rows = rings.where("ring IS NOT NULL").select(*spot, "ring", area.alias("area"), kind.alias("kind")).withColumn(
+        "range", F.when(F.col("kind") == "plain", F.floor(F.ln(F.least("area", F.lit(1e308))) / width))
+    )
+    kinds = ("unknown", "wild", "plain")
+    spots = rows.groupBy(*spot).agg(*[F.min(F.when(F.col("kind") == k, F.col("ring"))).alias(k) for k in kinds])
+    cell = lambda c: F.floor(F.least(F.greatest(F.col(c) / distance, F.lit(-1e15)), F.lit(1e15)))
     around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    there = rings.select("image_id", "ring", "cx", "cy", "area", cell("cx").alias("ci"), cell("cy").alias("cj"))
-    there = there.withColumn("di", F.explode(around)).withColumn("dj", F.explode(around)).withColumn("i", F.col("ci") + F.col("di")).withColumn("j", F.col("cj") + F.col("dj"))
-    met = there.join(here, ["image_id", "i", "j"]).where("ring_a < ring")
-    near = F.hypot(F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")) <= distance
-    small, large = F.least(F.abs("area"), F.abs("a")), F.greatest(F.abs("area"), F.abs("a"))
-    return met.where(near & ((small < 1e-6) | (small / large >= least_ratio))).groupBy("image_id", "ring").agg(F.min("ring_a").alias("first_ring"))
+    here = spots.select("image_id", F.col("cx").alias("ax"), F.col("cy").alias("ay"), *kinds, cell("cx").alias("i"), cell("cy").alias("j"))
+    there = spots.select(*spot, cell("cx").alias("ci"), cell("cy").alias("cj")).withColumn("di", F.explode(around)).withColumn("dj", F.explode(around))
+    there = there.select(*spot, (F.col("ci") + F.col("di")).alias("i"), (F.col("cj") + F.col("dj")).alias("j"))
+    near = there.join(here, ["image_id", "i", "j"]).where(F.hypot(F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")) <= distance)
+    # what is alike whatever the areas
+    free = near.groupBy(*spot).agg(*[F.min(k).alias(k) for k in kinds])
+    free = free.select(*spot, F.least("wild", "unknown").alias("plain"), F.least("wild", "plain").alias("unknown"), F.least(*kinds).alias("wild"))
+    # groups of plain areas
+    groups = rows.where("kind = 'plain'").groupBy(*spot, "range").agg(F.min("ring").alias("least"), F.min("area").alias("lo"), F.max("area").alias("hi"))
+    other = groups.select("image_id", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("range").alias("arange"), F.col("least").alias("aleast"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
+    reach = F.explode(F.sequence(F.col("range") - 3, F.col("range") + 3))
+    met = groups.join(near.select(*spot, "ax", "ay"), spot).withColumn("arange", reach).join(other, ["image_id", "ax", "ay", "arange"])
+    alike = lambda a, b: F.least(a, b) / F.greatest(a, b) >= least_ratio
+    whole = alike("lo", "ahi") & alike("hi", "alo")
+    none = ((F.col("hi") < F.col("alo")) & ~alike("hi", "alo")) | ((F.col("ahi") < F.col("lo")) & ~alike("ahi", "lo"))
+    common = met.where(whole).groupBy(*spot, "range").agg(F.min("aleast").alias("common"))
+    # groups alike in part, if they could give a smaller ring than is found already
+    group = [*spot, "range"]
+    known = groups.select(*group).join(free.select(*spot, F.col("plain").alias("free")), spot).join(common, group, "left").withColumn("known", F.least("free", "common"))
+    part = met.where(~whole & ~none).join(known.select(*group, "known"), group).where("known IS NULL OR aleast < known")
+    pair = ["image_id", "cx", "cy", "range", "ax", "ay", "arange"]
+    part = part.select(*pair)
+    asks = part.join(rows.select(*group, "ring", "area"), group).select(*pair, "ring", "area", F.lit(True).alias("asks"))
+    gives = rows.select("image_id", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("range").alias("arange"), "ring", "area")
+    gives = part.join(gives, ["image_id", "ax", "ay", "arange"]).select(*pair, "ring", "area", F.lit(False).alias("asks"))
+
+    def look_up(rows: pa.Table) -> pa.Table:
+        asks = rows.column("asks").to_numpy()
+        ring, area = np.array(rows.column("ring").to_pylist(), object), rows.column("area").to_numpy()
+        found = _least_in_span(area[~asks], ring[~asks], area[asks], least_ratio)
+        out = rows.filter(rows.column("asks")).select(["image_id", "ring"])
+        return out.append_column("found", pa.array(found.tolist(), out.schema.field("ring").type))
+
+    kind_of = lambda c: rings.schema[c].dataType.simpleString()
+    looked = asks.unionAll(gives).groupBy(*pair).applyInArrow(look_up, f"image_id {kind_of('image_id')}, ring {kind_of('ring')}, found {kind_of('ring')}")
+    joined = rows.join(free, spot).join(common, [*spot, "range"], "left")
+    mine = F.when(F.col("kind") == "plain", F.least("plain", "common")).when(F.col("kind") == "wild", F.col("wild")).otherwise(F.col("unknown"))
+    found = joined.select("image_id", "ring", mine.alias("found")).unionAll(looked)
+    return found.where("found < ring").groupBy("image_id", "ring").agg(F.min("found").alias("first_ring"))
 
 
 def cap_faces(pixels: DataFrame, most: int) -> DataFrame:

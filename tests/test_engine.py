@@ -221,6 +221,37 @@ def test_polar_order_does_not_depend_on_how_rows_arrive(spark):
         assert {r.pos: (r.angle, r.place) for r in selection.polar_order(mixed, "by", "pos").collect()} == want
 
 
+@pytest.mark.parametrize("ratio", [0.7, 1.0])
+def test_duplicate_rings_equal_brute_force(spark, ratio):
+    rng = np.random.default_rng(5)
+    odd = [None, float("nan"), float("inf"), 0.0, 5e-7, 70.0, 100.0, 49.0]
+    areas = [odd[k] if k < len(odd) else float(np.round(a, 1)) for k, a in zip(rng.integers(0, 40, 300).tolist(), rng.uniform(20, 200, 300) * rng.choice([1, -1], 300))]
+    rows = [("ab"[k % 2], int(r), float(rng.integers(0, 5) * 2), float(rng.integers(0, 9)), a) for k, (r, a) in enumerate(zip(rng.permutation(300), areas))]
+    rows += [("c", r, x, 1.0, 5.0) for r, x in enumerate([1e300, 1e300, float("inf"), float("inf"), float("nan")])]
+    df = spark.createDataFrame(rows, "image_id string, ring long, cx double, cy double, area double")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE r (image_id VARCHAR, ring BIGINT, cx DOUBLE, cy DOUBLE, area DOUBLE)")
+    con.executemany("INSERT INTO r VALUES (?, ?, ?, ?, ?)", rows)
+    small, large = "least(abs(a.area), abs(b.area))", "greatest(abs(a.area), abs(b.area))"
+    want = con.execute(f"""SELECT b.image_id, b.ring, min(a.ring) FROM r a JOIN r b ON a.image_id = b.image_id AND a.ring < b.ring AND sqrt((a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy)) <= 3
+        AND ({small} < 1e-6 OR {small} / {large} >= {ratio}) GROUP BY 1, 2""").fetchall()
+    assert sorted(map(tuple, selection.duplicate_rings(df, least_ratio=ratio).collect())) == sorted(want) and len(want) > 40
+
+
+def test_duplicate_rings_of_one_place_do_not_meet_in_pairs(spark):
+    """40,000 rings on two centroids have 8e8 pairs; areas fall into ranges that are alike in part."""
+    n = 40_000
+    area = F.pow(F.lit(1.00002), F.col("id"))
+    rings = spark.range(n).select(F.lit("i").alias("image_id"), F.col("id").alias("ring"), (F.col("id") % 2).cast("double").alias("cx"), F.lit(0.0).alias("cy"), area.alias("area"))
+    rings = rings.cache()
+    areas = np.array([r.area for r in rings.orderBy("ring").collect()])
+    first = [int(np.flatnonzero(areas[: k + 1] / areas[k] >= 0.7)[0]) for k in range(0, n, 997)]
+    got = {r.ring: r.first_ring for r in selection.duplicate_rings(rings).collect()}
+    assert [got.get(k, k) for k in range(0, n, 997)] == first and len(got) == n - 1
+
+
 FAST = ["edge_roles", "recall_formulas", "unique_concat", "duplicate_rings", "face_cap", "affine_sample", "face_cycles", "random_sample", "region_profile", "region_borders", "colour_stats", "gradient", "majority_type", "role_runs", "resample", "painter_fold", "leave_one_out", "budget_limit", "props_json", "score_formulas", "coverage", "layer_documents"]
 
 
