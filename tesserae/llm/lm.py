@@ -37,6 +37,8 @@ EM_STEPS = 60
 #: Ratios of estimates are put in cells of this many to an octave for the expectation step.
 CELLS = 8
 NONE = -(1 << 14)
+#: Tokens of a bundle that are looked at together once it has its counts: whole documents, this many tokens or one document more.
+PIECE_TOKENS = 200_000
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -101,6 +103,18 @@ def bundle_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them as a 32-bit number: ``np.unique`` with less memory."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.empty(len(values), bool)
+    new[:1], new[1:] = True, values[1:] != values[:-1]
+    values = values[new]
+    place = np.empty(len(new), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return values, place
+
+
 class Bundle:
     """The n-grams of a bundle: per order the distinct keys, and the place of each token's n-gram among them."""
 
@@ -119,35 +133,45 @@ class Bundle:
                 before = np.r_[BEGIN, before[:-1]]
                 before[depth < n - 1] = BEGIN
                 gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(n))
-            keys, place = np.unique(gram >> np.uint64(64 - _width(n, bits)), return_inverse=True)
+            keys, place = _distinct(gram >> np.uint64(64 - _width(n, bits)))
             self.keys.append(keys)
-            self.place.append(place.astype(np.int32))
+            self.place.append(place)
+
+    def pieces(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """The tokens in pieces of whole documents, and where the documents of a piece start in it."""
+        i = 0
+        while i < len(self.start):
+            j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + PIECE_TOKENS)))
+            end = self.start[j] if j < len(self.start) else len(self.first)
+            yield slice(int(self.start[i]), int(end)), self.start[i:j] - self.start[i]
+            i = j
 
     def counts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the keys of order n in training documents: those that do not tune, those that do."""
         place, size = self.place[n - 1], len(self.keys[n - 1])
         return tuple(np.bincount(place[fold], minlength=size) for fold in ((self.fold != TUNING) & (self.fold != HELD_OUT), self.fold == TUNING))
 
-    def contexts(self, n: int, counts: list[np.ndarray], docs: int, total: int) -> np.ndarray:
-        """How often the context of every token's n-gram was seen."""
+    def contexts(self, n: int, counts: list[np.ndarray], docs: int, total: int, piece: slice = slice(None)) -> np.ndarray:
+        """How often the context of the n-gram of every token of a piece was seen."""
+        first = self.first[piece]
         if n == 1:
-            return np.full(len(self.first), total)
-        context = np.r_[0, counts[n - 2][self.place[n - 2]][:-1]]
-        context[self.first] = docs
+            return np.full(len(first), total)
+        context = np.r_[0, counts[n - 2][self.place[n - 2][piece]][:-1]]
+        context[first] = docs
         return context
 
-    def buckets(self, counts: list[np.ndarray], docs: int) -> np.ndarray:
-        """The longest known context of every token: 64 times its order, and the octave of its count; 0 if none is known."""
-        bucket = np.zeros(len(self.first), np.int16)
+    def buckets(self, counts: list[np.ndarray], docs: int, piece: slice = slice(None)) -> np.ndarray:
+        """The longest known context of every token of a piece: 64 times its order, and the octave of its count; 0 if none is known."""
+        bucket = np.zeros(len(self.first[piece]), np.int16)
         for n in range(2, len(counts) + 1):
-            context = self.contexts(n, counts, docs, 0)
+            context = self.contexts(n, counts, docs, 0, piece)
             bucket = np.where(context > 0, (n * 64 + np.log2(np.maximum(context, 1))).astype(np.int16), bucket)
         return bucket
 
-    def estimate(self, n: int, counts: list[np.ndarray], docs: int, total: int) -> np.ndarray:
-        """The maximum-likelihood estimate of every token by order n, 0 where the context is unknown."""
-        context = self.contexts(n, counts, docs, total)
-        return np.divide(counts[n - 1][self.place[n - 1]], context, out=np.zeros(len(context)), where=context > 0)
+    def estimate(self, n: int, counts: list[np.ndarray], docs: int, total: int, piece: slice = slice(None)) -> np.ndarray:
+        """The maximum-likelihood estimate of every token of a piece by order n, 0 where the context is unknown."""
+        context = self.contexts(n, counts, docs, total, piece)
+        return np.divide(counts[n - 1][self.place[n - 1][piece]], context, out=np.zeros(len(context)), where=context > 0)
 
 
 def _width(n: int, bits: int) -> int:
@@ -337,12 +361,15 @@ def score_documents(docs: DataFrame, order: int = ORDER, fan: int = FAN) -> Data
 
     def cells_of(key: tuple, bundle: pa.Table, found: pa.Table) -> pa.Table:
         b, main = _with_counts(bundle, found, order, bits, ("main",))
-        columns = [b.buckets(main, main_docs)]
-        for n in range(1, order + 1):
-            with np.errstate(divide="ignore"):
-                f = b.estimate(n, main, main_docs, main_total)
-                columns.append(np.where(f > 0, np.round(np.log2(f / uniform) * CELLS), NONE).astype(np.int16))
-        stacked, n = np.unique(np.stack(columns), axis=1, return_counts=True)
+        columns = np.empty((order + 1, len(b.first)), np.int16)
+        for piece, _ in b.pieces():
+            columns[0, piece] = b.buckets(main, main_docs, piece)
+            for n in range(1, order + 1):
+                with np.errstate(divide="ignore"):
+                    f = b.estimate(n, main, main_docs, main_total, piece)
+                    columns[n, piece] = np.where(f > 0, np.round(np.log2(f / uniform) * CELLS), NONE)
+        del b, main
+        stacked, n = np.unique(columns, axis=1, return_counts=True)
         return pa.table({"bucket": pa.array(stacked[0], pa.int64()), "cell": pa.array(stacked[1:].T.astype(np.int64).tolist(), pa.list_(pa.int64())), "n": n})
 
     def learn(bucket: pa.Table) -> pa.Table:
@@ -363,19 +390,22 @@ def score_documents(docs: DataFrame, order: int = ORDER, fan: int = FAN) -> Data
 
     def score(key: tuple, bundle: pa.Table, found: pa.Table) -> pa.Table:
         b, whole = _with_counts(bundle, found, order, bits, ("main", "tuning"))
-        c = whole[0][b.place[0]]
-        by_doc = lambda x: np.add.reduceat(x, b.start)
-        known, base = by_doc((c > 0).astype(np.int64)), by_doc(np.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1))))
-        names, place = np.unique(b.buckets(whole, train_docs), return_inverse=True)
-        lam = np.array([weights_of(k, learned, order, total) for k in names.tolist()])
-        mixed = lam[place, 0] * uniform
-        for n in range(1, order + 1):
-            mixed += lam[place, n] * b.estimate(n, whole, train_docs, total)
+        sums = []
+        for piece, start in b.pieces():
+            c = whole[0][b.place[0][piece]]
+            names, place = np.unique(b.buckets(whole, train_docs, piece), return_inverse=True)
+            lam = np.array([weights_of(k, learned, order, total) for k in names.tolist()])
+            mixed = lam[place, 0] * uniform
+            for n in range(1, order + 1):
+                mixed += lam[place, n] * b.estimate(n, whole, train_docs, total, piece)
+            by_token = (c > 0).astype(np.int64), np.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1))), np.log10(mixed)
+            sums.append([np.add.reduceat(x, start) for x in by_token])
+        known, base, scores = map(np.concatenate, zip(*sums))
         return pa.table({
             "doc_id": pa.array(b.ids, bundle.schema.field("doc_ids").type.value_type),
             "held_out": pa.array([remainder(i) == HELD_OUT for i in b.ids]), "n_tokens": b.sizes,
             "n_known": known, "train_tokens": np.full(len(b.ids), total, np.int64),
-            "base_score": base, "score": by_doc(np.log10(mixed)),
+            "base_score": base, "score": scores,
         })
 
     matched = bundles.drop("tuning").groupBy("bundle").cogroup(counts.drop("found", "child_rng").groupBy("child"))

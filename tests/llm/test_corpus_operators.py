@@ -357,6 +357,27 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch, order, fan, bundle):
         assert got[i] == pytest.approx(want, rel=1e-6), i
 
 
+def test_lm_bundle_is_small_and_comes_in_pieces():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    sizes = [1, 250_000, *rng.integers(1, 3000, 500).tolist()]
+    vocabulary, place = rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.zipf(1.3, sum(sizes)) % 5000
+    packed = lm.pack(vocabulary), lm.pack(place.astype(np.uint32))
+    tracemalloc.start()
+    b = lm.Bundle(list(range(len(sizes))), sizes, *packed, 3, 48)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 85 * sum(sizes)
+    pieces = list(b.pieces())
+    assert [p.start for p, _ in pieces] == [0, *[p.stop for p, _ in pieces]][:-1] and pieces[-1][0].stop == sum(sizes)
+    assert np.concatenate([s + p.start for p, s in pieces]).tolist() == b.start.tolist() and len(pieces) > 3
+    counts = [rng.integers(0, 9, len(k)) for k in b.keys]
+    assert np.array_equal(np.concatenate([b.buckets(counts, 7, p) for p, _ in pieces]), b.buckets(counts, 7))
+    for n in (1, 2, 3):
+        assert np.array_equal(np.concatenate([b.estimate(n, counts, 7, 99, p) for p, _ in pieces]), b.estimate(n, counts, 7, 99))
+
+
 def test_lm_probabilities_sum_to_one():
     tokens = np.array([1, 2, 1, 3, int(lm.END), 1, 2, int(lm.END)], np.uint64)
     vocabulary, place = np.unique(tokens, return_inverse=True)
