@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.bpe import default_tokenizer, encode_documents
-from tesserae.llm.common import materialise, table
+from tesserae.llm.common import materialise, small_batches, table
 from tesserae.llm.exact_dedup import drop_exact
 from tesserae.llm.jaccard import drop_near
 from tesserae.llm.mixing import mix_documents
@@ -18,17 +18,20 @@ from tesserae.llm.quality import rate, train
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier selects; it learns from the labels of this input's documents."""
+    small_batches(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     return rate(docs, model).where("selected").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal normalised texts."""
+    small_batches(spark)
     return drop_exact(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: shingles of five words, Jaccard similarity of 0.8 or more."""
+    small_batches(spark)
     return drop_near(docs, width=5, percent=80)
 
 
@@ -39,6 +42,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every text of the mix."""
+    small_batches(spark)
     return encode_documents(docs, default_tokenizer())
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import frugal, kept, table
 
 #: Fixed value: the split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -229,16 +229,9 @@ def learned(bpe: RankBpe, column: pa.Array) -> Iterator[str]:
     yield from block
 
 
-_encoders: dict[str, RankBpe] = {}
-
-
 def encoder(spec: str) -> RankBpe:
     """The encoder of a vocabulary, kept by the Python worker for its next task."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = RankBpe(spec)
-    return _encoders[key]
+    return kept(hashlib.sha256(spec.encode()).hexdigest(), lambda: RankBpe(spec))
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> DataFrame:
@@ -276,7 +269,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = Fals
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run, keeps=True), schema)
 
 
 def default_tokenizer() -> str:

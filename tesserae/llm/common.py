@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +81,54 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of rows that go to a Python worker at a time; each batch is held whole on both sides of the exchange.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let rows go to Python workers in batches of ``BATCH_BYTES``, unless the session has smaller ones.
+
+    Results do not depend on it. Frames run after the function that makes them
+    has ended, so the session keeps the setting.
+    """
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+_kept: dict[str, Any] = {}
+
+
+def kept(key: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps for its next task of the same operator: one object, whatever else it kept goes."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def give_back() -> None:
+    """Return to the system what allocators can of the memory that is free; they would hold it as long as the Python worker lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches in a Python worker that first drops what is ``kept``, unless ``run`` itself ``keeps`` something, and last gives memory back."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        if not keeps:
+            _kept.clear()
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
 #: Bits of a bitmap of keys, as a power of two: 1 MB, whatever the number of keys.
 BITMAP_BITS = 23
 

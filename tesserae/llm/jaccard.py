@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, materialise, table
+from .common import bitmap_of, frugal, materialise, table
 from .components import components
 from .shingles import Shingler, mix, pack, unpack
 
@@ -167,7 +167,7 @@ def frequency_levels(docs: DataFrame, width: int, bits: int) -> np.ndarray:
         return pa.table({"part": part.column("part")[:1], "levels": pa.array([octaves.tobytes()], pa.binary())})
 
     lanes = docs.rdd.getNumPartitions()
-    parts = docs.select("text").mapInArrow(count, "part int, lane long, counts binary")
+    parts = docs.select("text").mapInArrow(frugal(count), "part int, lane long, counts binary")
     while lanes > SKETCH_FAN:
         lanes = -(-lanes // SKETCH_FAN)
         parts = parts.withColumn("lane", F.pmod("lane", F.lit(lanes))).groupBy("part", "lane").applyInArrow(add, "part int, lane long, counts binary")
@@ -202,7 +202,7 @@ def shingle_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
             )
 
     keyed = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    return keyed.mapInArrow(run, f"uid long, doc_id {doc_type}, text_hash long, n_shingles long, fp1 long, fp2 long, prefix array<long>, parity binary")
+    return keyed.mapInArrow(frugal(run), f"uid long, doc_id {doc_type}, text_hash long, n_shingles long, fp1 long, fp2 long, prefix array<long>, parity binary")
 
 
 class Region:
@@ -502,7 +502,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     hashed = hashed.where(bitmap_of(needed, "_hash")("text_hash"))
     texts = hashed.join(needed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     # repeated rows give a set more than once; tasks key sets by uid
-    sets = texts.select("uid", "text").mapInArrow(make_sets, "uid long, shingles binary")
+    sets = texts.select("uid", "text").mapInArrow(frugal(make_sets), "uid long, shingles binary")
     sets = materialise(sets, "shingle-sets")
     links = materialise(region_links(members, sets, percent), "links")
     roots = components(links)

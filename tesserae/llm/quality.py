@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import frugal, table, words
 
 #: Hashed features; the weight vector (1 MB) is what scoring broadcasts.
 FEATURE_BITS = 18
@@ -164,7 +164,7 @@ def rated_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -
     # at most ``limit`` rows of two numbers: a proven bound for the broadcast
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     one = texts.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    return one.select("text", "grade").mapInArrow(run, "slots binary, grade int")
+    return one.select("text", "grade").mapInArrow(frugal(run), "slots binary, grade int")
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS, n_grades: int = 3) -> OrdinalModel:
@@ -194,7 +194,7 @@ def rate(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             tails = ordinal.tails(score)
             yield pd.DataFrame({"expected": tails.sum(1), "tail": tails[:, -1]})
 
-    rated = F.pandas_udf(run, "expected double, tail double")
+    rated = F.pandas_udf(frugal(run), "expected double, tail double")
     out = docs.select(F.struct("*").alias("row"), rated(F.col("text")).alias("rated"))
     return out.select(
         *[F.col("row")[c].alias(c) for c in keep], F.col("rated.expected").alias("expected_grade"), F.col("rated.tail").alias("tail_probability"),

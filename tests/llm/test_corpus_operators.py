@@ -448,3 +448,52 @@ def test_pipeline_odd_rows(spark):
             now = p.materialise(stage(spark, now, sf), "test")
             assert name == p.STAGES[-1][0] or now.columns == docs.columns
         assert (now.count() > 0) == (start is docs)
+
+
+def test_pipeline_gives_workers_small_batches(spark):
+    """However many rows a partition has, a worker gets few bytes of them at a time; a session's own smaller batches stay."""
+    import corpus_pipeline as p
+
+    common = p.quality_stage.__globals__["small_batches"].__globals__
+    was = spark.conf.get(common["BATCH_SETTING"])
+    docs = spark.range(400, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 10000) AS text", "'s' AS source")
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.from_pydict({"bytes": [batch.nbytes]})
+
+    try:
+        for _, stage in (p.STAGES[1], p.STAGES[4]):
+            spark.conf.set(common["BATCH_SETTING"], "64m")
+            stage(spark, docs, "")
+            got = [r.bytes for r in docs.mapInArrow(sizes, "bytes long").collect()]
+            assert sum(got) >= 400 * 50_000 and max(got) <= common["BATCH_BYTES"] + 60_000
+        spark.conf.set(common["BATCH_SETTING"], "1m")
+        p.bpe_stage(spark, docs, "")
+        assert spark.conf.get(common["BATCH_SETTING"]) == "1m"
+    finally:
+        spark.conf.set(common["BATCH_SETTING"], was)
+
+
+def test_worker_keeps_one_operator():
+    """A Python worker lives on after its task; what one operator remembers must not be added to what the next one needs."""
+    from tesserae.llm import bpe, common
+
+    def remembers(batches):
+        encoder = bpe.encoder(open(bpe.default_tokenizer(), encoding="utf-8").read())
+        for batch in batches:
+            encoder.learn(batch)
+            yield len(encoder.units)
+
+    def other(batches):
+        assert not common._kept
+        yield from batches
+
+    try:
+        assert list(common.frugal(remembers, keeps=True)([["one two three"]])) == [2]
+        assert list(common.frugal(remembers, keeps=True)([["four five"]])) == [3]  # the next task of the operator goes on
+        assert list(common.frugal(other)([5, 6])) == [5, 6]
+        common.kept("a", list)
+        assert common.kept("b", dict) == {} and list(common._kept) == ["b"]
+    finally:
+        common._kept.clear()
